@@ -15,22 +15,24 @@ from offerloom.fixed_values import (
     TOPCARD_MODE_LINE,
     TOPCARD_MODE_PAREN,
 )
+from offerloom.functions.binding import bind
 from offerloom.functions.text import blank_to_null, collapse_for, strip
 
 
 def first_match(text: Column, rules: Iterable[tuple[str, str]]) -> Column:
-    case = None
-    for pattern, value in rules:
-        hit = text.rlike(pattern)
-        case = F.when(hit, F.lit(value)) if case is None else case.when(hit, F.lit(value))
-    return case
+    def cases(t: Column) -> Column:
+        case = F
+        for pattern, value in rules:
+            case = case.when(t.rlike(pattern), F.lit(value))
+        return case
+
+    return bind(text, cases)
 
 
 def by_source(source: Column, columns: dict[str, Column]) -> Column:
-    case = None
+    case = F
     for name, column in columns.items():
-        here = source == name
-        case = F.when(here, column) if case is None else case.when(here, column)
+        case = case.when(source == name, column)
     return case
 
 
@@ -56,9 +58,10 @@ def location_mode(source: str, texts: list[Column], job_location_type: Column |
         else F.lit(None).cast("string")
     )
     if source == "france_travail":
-        joined = blank_to_null(strip(F.concat_ws(" ", *texts)))
-        return F.when(
-            joined.isNotNull(), F.coalesce(first_match(joined, rules), F.lit("on-site"))
+        joined = F.array_compact(F.array(blank_to_null(strip(F.concat_ws(" ", *texts)))))
+        return F.get(
+            F.transform(joined, lambda t: F.coalesce(first_match(t, rules), F.lit("on-site"))),
+            F.lit(0),
         )
     found = [first_match(t, rules) for t in texts]
     if source == "cadremploi":
@@ -68,10 +71,12 @@ def location_mode(source: str, texts: list[Column], job_location_type: Column |
 
 def topcard_location_mode(page_text: Column) -> Column:
     """Optional LinkedIn work mode read from the metadata line of a page."""
-    word = F.coalesce(*[
-        blank_to_null(F.regexp_extract(page_text, pattern, 1))
-        for pattern in (
-            TOPCARD_MODE_PAREN, TOPCARD_MODE_CHIPS, TOPCARD_MODE_LINE, TOPCARD_MODE_FRANCE,
-        )
-    ])
-    return first_match(word, MODE_RULES["linkedin"])
+    def word(t: Column) -> Column:
+        return F.coalesce(*[
+            blank_to_null(F.regexp_extract(t, pattern, 1))
+            for pattern in (
+                TOPCARD_MODE_PAREN, TOPCARD_MODE_CHIPS, TOPCARD_MODE_LINE, TOPCARD_MODE_FRANCE,
+            )
+        ])
+
+    return first_match(bind(page_text, word), MODE_RULES["linkedin"])

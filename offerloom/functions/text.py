@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from offerloom.fixed_values import SYMBOL_ALIASES
+from offerloom.functions.binding import keep_if
 
 NBSP = " "
 NARROW_NBSP = " "
 
 
 def blank_to_null(c: Column) -> Column:
-    return F.nullif(c, F.lit(""))
+    return keep_if(c, lambda t: t != "")
 
 
 def strip(c: Column) -> Column:
@@ -87,11 +88,11 @@ def relevance_keywords(keywords: Column) -> Column:
     """Keywords plus the canonical name of every alias found in them."""
 
     def variants(k: Column) -> Column:
-        k = strip(k)
         aliases = [F.when(k.rlike(p), F.lit(alias)) for p, alias in SYMBOL_ALIASES]
         return F.array_compact(F.array(k, *aliases))
 
-    texts = F.transform(F.flatten(F.transform(keywords, variants)), relevance_text)
+    texts = F.transform(
+        F.flatten(F.transform(F.transform(keywords, strip), variants)), relevance_text)
     return F.array_distinct(F.filter(texts, lambda t: t != ""))
 
 
