@@ -49,7 +49,7 @@ def put_step(steps: Column, step: str, at: Column, version: Column) -> Column:
         F.struct(at.cast("string").alias("at"), version.cast("int").alias("version")),
     )
     others = F.map_filter(
-        F.coalesce(steps, F.map_from_entries(F.array()).cast(STEPS_DETAILS)),
+        F.coalesce(steps, F.create_map().cast(STEPS_DETAILS)),
         lambda k, _: k != step,
     )
     return F.map_concat(others, entry)
