@@ -37,10 +37,13 @@ def html_state(html: Column) -> Column:
 
 
 def _any(doc: Column, *tests: N.Test) -> Column:
-    found = F.lit(False)
-    for test in tests:
-        found |= F.exists(doc["nodes"], lambda n, t=test: F.coalesce(t(n), F.lit(False)))
-    return found
+    def passes_any(n: Column) -> Column:
+        hit = F.lit(False)
+        for test in tests:
+            hit |= F.coalesce(test(n), F.lit(False))
+        return hit
+
+    return F.exists(doc["nodes"], passes_any)
 
 
 def content_markers(doc: Column) -> dict[str, Column]:
@@ -154,7 +157,8 @@ def result_links(source: Column, doc: Column, url: Column) -> Column:
         return F.transform(nodes, lambda n: n["attrs"]["href"])
 
     def by_pattern(name: str) -> Column:
-        return F.filter(hrefs(anchors), lambda h: h.rlike(LINK_PATTERNS[name]))
+        pattern = LINK_PATTERNS[name]
+        return F.filter(hrefs(anchors), lambda h: h.rlike(pattern))
 
     cards = N.select(doc, N.both(
         N.tag("li"), N.css_class("scaffold-layout__list-item"),
