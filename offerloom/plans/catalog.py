@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from offerloom.plans import catalog_discovery, catalog_pages, catalog_search  # noqa: F401
+from offerloom.plans import catalog_discovery, catalog_pages, catalog_rules, catalog_search, catalog_streams  # noqa: F401
 from offerloom.plans.registered import CATALOG
 
 __all__ = ["CATALOG"]
