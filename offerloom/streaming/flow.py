@@ -50,14 +50,20 @@ def current_digest(spark: SparkSession, digests_path: str) -> DataFrame:
 
 # --- pages -------------------------------------------------------------------
 
-def process_pages(pages: DataFrame, responses: DataFrame, profile: dict, now: Column) -> DataFrame:
+def process_pages(
+    pages: DataFrame,
+    responses: DataFrame,
+    profile: dict,
+    now: Column,
+    sources: list[str] | None = None,
+) -> DataFrame:
     """fetched -> analyzed -> enriched -> scored for a stream of raw pages.
 
     Rows need url_hash, source, url and html. Everything is stateless but the
     stream-static join with the responses, so the plan scales with the batch.
     """
     good = accepted(classify(pages, keep_doc=True))
-    analyzed = extract_docs(good, now).drop("page_status")
+    analyzed = extract_docs(good, now, sources).drop("page_status")
     joined = analyzed.join(responses.select("url_hash", "payload"), "url_hash", "left")
     response = normalised_response(F.col("source"), F.col("location_mode"), F.col("payload"))
     from_response = F.col("source") == "linkedin"
