@@ -40,7 +40,7 @@ def _any(doc: Column, *tests: N.Test) -> Column:
     def passes_any(n: Column) -> Column:
         hit = F.lit(False)
         for test in tests:
-            hit |= F.coalesce(test(n), F.lit(False))
+            hit |= test(n)
         return hit
 
     return F.exists(doc["nodes"], passes_any)
@@ -166,7 +166,7 @@ def result_links(source: Column, doc: Column, url: Column) -> Column:
 
     def card_link(card: Column) -> Column:
         own = N.within(doc, card, N.both(
-            N.tag("a"), lambda n: n["attrs"]["href"].contains("/jobs/view/")))
+            N.tag("a"), N.attr_has("href", "/jobs/view/")))
         card_id = F.nullif(card["attrs"]["data-occludable-job-id"], F.lit(""))
         return F.coalesce(
             N.first(own)["attrs"]["href"],
@@ -177,10 +177,11 @@ def result_links(source: Column, doc: Column, url: Column) -> Column:
         N.select_inside(
             doc, N.both(N.tag("li"), N.css_class("result")),
             N.both(N.tag("a"), N.css_class("media"),
-                   lambda n: n["attrs"]["href"].rlike(LINK_PATTERNS["france_travail"])),
+                   N.attr_matches("href", LINK_PATTERNS["france_travail"])),
         ),
-        lambda n: F.exists(doc["nodes"], lambda o: (o["tag"] == "ul") & F.coalesce(
-            N.css_class("result-list")(o), F.lit(False)) & N.is_inside(n, o)),
+        lambda n: F.exists(
+            doc["nodes"],
+            lambda o: (o["tag"] == "ul") & N.css_class("result-list")(o) & N.is_inside(n, o)),
     )
     raw = by_source(source, {
         "linkedin": F.array_compact(F.transform(cards, card_link)),
@@ -223,9 +224,9 @@ def read_result_pages(pages: DataFrame, html: str = "html") -> DataFrame:
             ~_any(doc, N.both(N.tag("ul"), N.css_class("result-list"))), error),
         "wttj": F.when(none, error),
     })
-    next_buttons = N.select(doc, N.both(N.tag("button"), lambda n: F.coalesce(
-        n["attrs"]["aria-label"].rlike("Next|Suivant"), F.lit(False)) | F.coalesce(
-        N.css_class("jobs-search-pagination__button--next")(n), F.lit(False))))
+    labelled = N.attr_matches("aria-label", "Next|Suivant")
+    pager = N.css_class("jobs-search-pagination__button--next")
+    next_buttons = N.select(doc, N.both(N.tag("button"), lambda n: labelled(n) | pager(n)))
     count = F.size(urls)
     has_next = by_source(source, {
         "linkedin": F.coalesce(
