@@ -211,7 +211,7 @@ def keyword_lists(sighted: DataFrame, key: str = "url_hash") -> DataFrame:
     """
     first = sighted.where(F.col("keyword") != "").groupBy(key, "keyword").agg(
         F.min("seq").alias("seq"))
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "keyword")))
+    ordered = F.sort_array(F.collect_list(F.struct("seq", "keyword")))
     return first.groupBy(key).agg(
         F.transform(ordered, lambda x: x["keyword"]).alias("keywords"))
 
@@ -234,7 +234,7 @@ def digest(sighted: DataFrame) -> DataFrame:
         F.min("seen_at").alias("first_at"),
         F.max("seen_at").alias("last_at"),
     )
-    ordered = F.array_sort(F.collect_list(
+    ordered = F.sort_array(F.collect_list(
         F.when(F.col("keyword") != "", F.struct("seq", "keyword"))))
     return per_keyword.groupBy("url_hash").agg(
         F.max("latest").alias("latest"),
@@ -258,7 +258,7 @@ def merge_digests(digests: DataFrame) -> DataFrame:
         F.min("first_at").alias("first_at"),
         F.max("last_at").alias("last_at"),
     )
-    ordered = F.array_sort(F.collect_list(
+    ordered = F.sort_array(F.collect_list(
         F.when(F.col("keyword").isNotNull(), F.struct("seq", "keyword"))))
     return per_keyword.groupBy("url_hash").agg(
         F.max("latest").alias("latest"),

@@ -41,7 +41,7 @@ def dashboard(offers: DataFrame) -> DataFrame:
         F.sum("score").alias("score_sum"),
         F.count("score").alias("score_count"),
     )
-    ranked = F.array_sort(F.collect_list(
+    ranked = F.sort_array(F.collect_list(
         F.struct((-F.col("count")).alias("order"), "source", "count")))
     return per_source.agg(
         F.coalesce(F.sum("count"), F.lit(0)).alias("total"),

@@ -99,7 +99,7 @@ def list_parameter(spark, folder):
     rows = table(spark, folder, "customer").select(
         F.col("c_custkey").alias("id"), pick(LISTS, F.col("c_custkey")).alias("raw"))
     return rows.select(
-        "id", F.array_join(F.array_sort(text.parse_list(F.col("raw"))), "|").alias("items"))
+        "id", F.array_join(F.sort_array(text.parse_list(F.col("raw"))), "|").alias("items"))
 
 
 @register("canonical_urls", "O-DSC-1 O-DSC-2", """

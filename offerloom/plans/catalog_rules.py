@@ -331,7 +331,7 @@ def technology_labels(spark, folder):
         F.col("p_partkey").alias("id"),
         F.array_join(F.transform(labels, text.scoring_label), "|").alias("scoring"),
         F.array_join(F.transform(labels, text.enriched_label), "|").alias("enriched"),
-        F.array_join(F.array_sort(text.cased_labels(labels)), "|").alias("cased"))
+        F.array_join(F.sort_array(text.cased_labels(labels)), "|").alias("cased"))
 
 
 FRAGMENTS = ["<p>A &amp; B</p>", "<ul><li>x</li> <li>y&nbsp;z</li></ul>", "plain &lt;text&gt;", "<br>", ""]

@@ -131,7 +131,7 @@ SELECT id, array_to_string(list_sort(list_distinct(
 def technology_list(spark, folder):
     listed = search.technology_list(F.col("primary_technologies"), F.col("secondary_technologies"))
     return offers_view(spark, folder).select(
-        "id", F.array_join(F.array_sort(listed), "|").alias("technologies"))
+        "id", F.array_join(F.sort_array(listed), "|").alias("technologies"))
 
 
 @register("source_keys", "O-PRJ-7 O-UDF-1", f"""WITH {BASE_SQL},
@@ -389,7 +389,7 @@ def score_breakdown(spark, folder):
         "id",
         F.col(b + "technology.warning").alias("warning"),
         F.array_join(b + "technology.missing_required_technologies", "|").alias("missing"),
-        F.array_join(F.array_sort(b + "technology.matching_secondary_technologies"), "|")
+        F.array_join(F.sort_array(b + "technology.matching_secondary_technologies"), "|")
         .alias("matches"),
         F.col(b + "location.penalty_reason").alias("reason"),
         F.col(b + "location.rank").cast("long").alias("rank"),
@@ -447,7 +447,7 @@ def array_set_ops(spark, folder):
     a, b = F.col("primary_technologies"), F.col("secondary_technologies")
     return offers_view(spark, folder).select(
         "id",
-        F.array_join(F.array_sort(arrays.difference(a, b)), "|").alias("minus"),
-        F.array_join(F.array_sort(arrays.intersection(a, b)), "|").alias("common"),
+        F.array_join(F.sort_array(arrays.difference(a, b)), "|").alias("minus"),
+        F.array_join(F.sort_array(arrays.intersection(a, b)), "|").alias("common"),
         F.size(arrays.union_distinct(a, b)).cast("long").alias("together"),
         arrays.overlaps(a, b).alias("overlap"))

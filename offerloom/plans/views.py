@@ -126,8 +126,8 @@ def with_technologies(offers: DataFrame, spark: SparkSession, folder: str) -> Da
         .join(parts, "l_partkey").withColumn("name", name)
     )
     lists = named.groupBy(F.col("l_orderkey").alias("id")).agg(
-        F.array_sort(F.collect_set(F.when(first_lines, F.col("name")))).alias("_first"),
-        F.array_sort(F.collect_set(F.when(~first_lines, F.col("name")))).alias("_rest"),
+        F.sort_array(F.collect_set(F.when(first_lines, F.col("name")))).alias("_first"),
+        F.sort_array(F.collect_set(F.when(~first_lines, F.col("name")))).alias("_rest"),
     )
     return offers.join(lists, "id", "left").withColumns({
         "primary_technologies": or_empty(F.col("_first")),

@@ -43,7 +43,7 @@ def throttled(events: DataFrame, key: str = "key", ts: str = "ts") -> DataFrame:
         events.select(F.col(key).alias("key"), ms.alias("ms"))
         .withColumn("chunk", F.floor(F.col("ms") / CHUNK_MS))
         .groupBy("key", "chunk")
-        .agg(F.array_sort(F.collect_set("ms")).alias("times"))
+        .agg(F.sort_array(F.collect_set("ms")).alias("times"))
     )
     key_type = dict(chunks.dtypes)["key"]
 
@@ -66,7 +66,7 @@ def throttled(events: DataFrame, key: str = "key", ts: str = "ts") -> DataFrame:
         f"key {key_type}, chunk long, starts array<long>, busy array<long>",
     )
     in_order = tables.groupBy("key").agg(
-        F.array_sort(F.collect_list(F.struct("chunk", "starts", "busy"))).alias("tables"))
+        F.sort_array(F.collect_list(F.struct("chunk", "starts", "busy"))).alias("tables"))
     # chain: the entry of a chunk is when the one before left the key free
     chained = F.aggregate(
         "tables",

@@ -112,6 +112,13 @@ def test_strict_reference_empties_hybrid_days(spark):
         assert row["hybrid_remote_days_min_per_week"] == days
 
 
+def test_own_generator(spark):
+    asked = spark.createDataFrame([("h1", "ruby job"), ("h2", "go job")], "url_hash string, prompt string")
+    found = enrich.generate_responses(
+        asked, lambda prompts: '{"city": "' + prompts.str.upper() + '"}').collect()
+    assert sorted(map(tuple, found)) == [("h1", '{"city": "RUBY JOB"}'), ("h2", '{"city": "GO JOB"}')]
+
+
 PAGES = [
     ("<p>a<p>b", "<p>a</p><p>b</p>", "ab"),
     ("<ul><li>a<ul><li>b</ul><li>c</ul>", "<ul><li>a<ul><li>b</li></ul></li><li>c</li></ul>", "abc"),
