@@ -15,7 +15,7 @@ from offerloom.functions.dates import preset_range
 from offerloom.functions.text import search_label
 
 # rows that one page request may rank in memory; deeper pages are located first
-SHALLOW_ROWS = 100_000
+SHALLOW_ROWS = 10_000
 
 
 @dataclass

@@ -5,9 +5,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from offerloom.fixed_values import CONTRACT_RULES, LOCATION_NOISE, MODE_RULES
+from offerloom.fixed_values import CONTRACT_RULES, MODE_RULES
 from offerloom.functions import dates, places, rules, salary, text
-from offerloom.functions.arrays import array_to_json, iso, put_step, step_time
+from offerloom.functions.arrays import array_to_json
 from offerloom.operators import enrich, incremental, metrics, migrate, quality
 from offerloom.operators.relevance import is_relevant, reject, relevance_flag
 from offerloom.plans.registered import register
@@ -129,7 +129,6 @@ PLACE_TEXTS = [
     "Greater Lyon Metropolitan Region · 3 days", "nothing here", "FToulouse, Occitanie, France",
     "Lille, Nord, France puis Rennes, Bretagne, France",
 ]
-_NOISE = "[" + ", ".join(sql_text(w) for w in LOCATION_NOISE) + "]"
 
 
 @register("french_places", "O-FN-9", f"""WITH {parts_sql(PLACE_TEXTS)}
@@ -438,12 +437,11 @@ PAYLOADS = [
 
 
 def responses(spark, folder):
-    rows = offers_base(spark, folder)
-    return rows.where(F.col("id") % 9 != 0).select(
-        "url_hash", "source", pick(PAYLOADS, F.col("id")).alias("payload"))
+    payload = F.when(F.col("id") % 9 != 0, pick(PAYLOADS, F.col("id")))
+    return offers_base(spark, folder).select("url_hash", "source", payload.alias("payload"))
 
 
-_VIOLATION_SQL = """WITH {base}, r AS (SELECT url_hash, source = 'linkedin' AS li, id % 4 AS kind FROM base WHERE id % 9 <> 0),
+_VIOLATION_SQL = """WITH {base}, r AS (SELECT url_hash, source = 'linkedin' AS li, CASE WHEN id % 9 = 0 THEN 3 ELSE id % 4 END AS kind FROM base),
 m AS (
   SELECT url_hash, unnest(CASE kind
     WHEN 0 THEN CASE WHEN li THEN CAST([] AS VARCHAR[]) ELSE ['unexpected location_mode', 'unexpected city'] END
@@ -610,13 +608,14 @@ _PROBLEMS = [
 @register("profile_rules", "O-DQ-6 O-SRC-4", "SELECT c_custkey AS id, list_extract(["
           + ", ".join("NULL" if p is None else sql_text(p) for p in _PROBLEMS)
           + "], CAST(c_custkey % 13 + 1 AS INTEGER)) AS problem,"
-            " CASE c_custkey % 13 WHEN 0 THEN 'remote|hybrid' WHEN 4 THEN NULL END AS preference"
-            " FROM customer WHERE c_custkey % 13 < 5")
+            " CASE c_custkey % 13 WHEN 0 THEN 'remote|hybrid' WHEN 5 THEN 'remote|office'"
+            " WHEN 6 THEN 'remote|remote' WHEN 7 THEN 'remote' WHEN 8 THEN 'remote' WHEN 9 THEN 'remote'"
+            " WHEN 10 THEN 'remote' WHEN 11 THEN 'remote' END AS preference FROM customer")
 def profile_rules(spark, folder):
     key = F.col("c_custkey")
     rows = table(spark, folder, "customer").select(
         key.alias("id"), pick(PROFILES, key).alias("profile"))
-    return parse_profiles(rows).where(F.col("id") % 13 < 5).select(
+    return parse_profiles(rows).select(
         "id", "problem", F.array_join("parsed.location.preference", "|").alias("preference"))
 
 
@@ -658,14 +657,15 @@ def array_recode(spark, folder):
 
 
 @register("pages_migration", "O-SNK-4 O-JN-6", f"""WITH {BASE_SQL}
-SELECT id, CASE WHEN id % 6 = 0 OR id % 4 = 0 THEN 'stored ' || id WHEN id % 3 = 0 THEN NULL ELSE '<p>' || id || '</p>' END AS html_content
-FROM (SELECT id FROM base WHERE id % 12 <> 5) WHERE true""")
+SELECT id, CASE WHEN rejected THEN 'stored ' || id WHEN id % 3 = 0 THEN NULL ELSE '<p>' || id || '</p>' END AS html_content
+FROM base""")
 def pages_migration(spark, folder):
+    """The pages of rejected offers are stored already; some offers have no page."""
     key = F.col("id")
-    offers = offers_base(spark, folder).where(key % 12 != 5).withColumn(
+    offers = offers_base(spark, folder).withColumn(
         "html_content",
         F.when(key % 3 == 0, "").otherwise(F.concat(F.lit("<p>"), key.cast("string"), F.lit("</p>"))))
-    stored = offers.where((key % 6 == 0) | (key % 4 == 0)).select(
+    stored = offers.where("rejected").select(
         "url_hash", "url", "source",
         F.concat(F.lit("stored "), key.cast("string")).alias("html"))
     merged = stored.unionByName(migrate.pages_to_store(offers, stored))
