@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from offerloom.llm.decontaminate import leaks
 from offerloom.llm.ngram_jaccard import ngram_jaccard
+from offerloom.llm.packing import pack
+from offerloom.llm.substring_dedup import substring_dedup
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,8 +21,31 @@ def op9_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_jaccard(_table(spark, folder, "documents"), width=4, threshold=85)
 
 
+def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+def tokenizer_file(name: str) -> str:
+    """A vocabulary file of the public_tokenizers package, which every executor has."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(_table(spark, folder, "documents"), tokenizer_file("word_bpe_49k.json"), capacity=4096, end_id=1)
+
+
+def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = substring_dedup(_table(spark, folder, "documents"), window=20)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_decontaminate": op5_decontaminate,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op9_ngram_jaccard": op9_ngram_jaccard,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 SQL: dict[str, str] = {}
