@@ -113,42 +113,62 @@ def _hits(part: Words, table, shortest: int, near: np.ndarray):
     return row, table[1][place], start - part.bounds[row], table[2][place]
 
 
+def _near_seeds(table) -> np.ndarray:
+    near = np.zeros(1 << SEED_BITS, bool)
+    near[(table[0] >> np.uint64(64 - SEED_BITS)).astype(np.int64)] = True
+    return near
+
+
+def _found(column: pa.Array, table, near: np.ndarray, shortest: int, coverage: float):
+    """(row, item, matched words, tiles) of each row and item whose tiles cover enough of the item."""
+    size = table[3]
+    for part in words(fold(column)):
+        row, item, at, place = _hits(part, table, shortest, near)
+        order = np.lexsort((item, row))
+        row, item, at, place = row[order], item[order], at[order], place[order]
+        turn = np.flatnonzero((row[1:] != row[:-1]) | (item[1:] != item[:-1])) + 1
+        edges = [0, *turn.tolist(), len(row)] if len(row) else []
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            words_of = int(size[item[lo]])
+            touched = np.zeros(words_of, bool)
+            for k in range(shortest):
+                touched[place[lo:hi] + k] = True
+            if touched.sum() < coverage * words_of:
+                continue
+            tiles = tile(matches(at[lo:hi], place[lo:hi], shortest), shortest)
+            matched = sum(n for n, _, _ in tiles)
+            if matched >= coverage * words_of:
+                yield part.first + int(row[lo]), int(item[lo]), matched, tiles
+
+
 def _tested(shared, shortest: int, coverage: float):
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("matched_words", pa.int32()), ("item_words", pa.int32()), ("tiles", pa.list_(pa.list_(pa.int32())))])
 
     def run(batches):
         table = shared.value
-        size, names = table[3], table[4]
-        near = np.zeros(1 << SEED_BITS, bool)
-        near[(table[0] >> np.uint64(64 - SEED_BITS)).astype(np.int64)] = True
+        size, names, near = table[3], table[4], _near_seeds(table)
         for batch in batches:
             ids = batch.column(0)
             out: list[list] = [[] for _ in schema]
-            for part in words(fold(batch.column(1))):
-                row, item, at, place = _hits(part, table, shortest, near)
-                order = np.lexsort((item, row))
-                row, item, at, place = row[order], item[order], at[order], place[order]
-                turn = np.flatnonzero((row[1:] != row[:-1]) | (item[1:] != item[:-1])) + 1
-                edges = [0, *turn.tolist(), len(row)] if len(row) else []
-                for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                    words_of = int(size[item[lo]])
-                    touched = np.zeros(words_of, bool)
-                    for k in range(shortest):
-                        touched[place[lo:hi] + k] = True
-                    if touched.sum() < coverage * words_of:
-                        continue
-                    tiles = tile(matches(at[lo:hi], place[lo:hi], shortest), shortest)
-                    matched = sum(n for n, _, _ in tiles)
-                    if matched >= coverage * words_of:
-                        made = (ids[part.first + int(row[lo])].as_py(), names[item[lo]], matched / words_of, matched, words_of, [list(t) for t in tiles])
-                        for column, value in zip(out, made, strict=True):
-                            column.append(value)
+            for row, item, matched, tiles in _found(batch.column(1), table, near, shortest, coverage):
+                made = (ids[row].as_py(), names[item], matched / int(size[item]), matched, int(size[item]), [list(t) for t in tiles])
+                for column, value in zip(out, made, strict=True):
+                    column.append(value)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types, strict=True)], schema=schema)
 
     return run, "doc_id long, item_id long, coverage double, matched_words int, item_words int, tiles array<array<int>>"
 
 
+def _seed_tables(benchmark: DataFrame, shortest: int):
+    """Broadcast seed tables of the items, about BLOCK_CHARS characters each."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    blocks = 1 + (items.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS
+    for block in range(blocks):
+        some = items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()
+        yield benchmark.sparkSession.sparkContext.broadcast(_seed_table([tuple(r) for r in some], shortest))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, shortest: int = 5, coverage: float = 0.8) -> DataFrame:
     """A row for each document and benchmark item that it holds: doc_id, item_id,
     coverage (share of the item's words under tiles), matched_words, item_words,
@@ -159,15 +179,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shortest: int = 5, coverage: fl
     rows, repeated items and null ids give rows of their own. Other columns are
     not looked at. If either table is empty, so is the result.
     """
-    spark = docs.sparkSession
-    text = F.col("text").cast("string")
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text.alias("text"))
-    blocks = 1 + (items.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tested = []
-    for block in range(blocks):
-        some = items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()  # about BLOCK_CHARS
-        shared = spark.sparkContext.broadcast(_seed_table([tuple(r) for r in some], shortest))
+    for shared in _seed_tables(benchmark, shortest):
         run, schema = _tested(shared, shortest, coverage)
         tested.append(narrow.mapInArrow(run, schema))
     return reduce(DataFrame.unionAll, tested)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, shortest: int = 5, coverage: float = 0.8) -> DataFrame:
+    """The rows of docs(text, ...), all columns, that hold no benchmark item as leaks() tells."""
+    place = docs.columns.index("text")
+
+    def kept(shared):
+        def run(batches):
+            near = _near_seeds(shared.value)
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                for row, *_ in _found(batch.column(place), shared.value, near, shortest, coverage):
+                    keep[row] = False
+                yield batch.filter(pa.array(keep))
+
+        return run
+
+    for shared in _seed_tables(benchmark, shortest):
+        docs = docs.mapInArrow(kept(shared), docs.schema)
+    return docs

@@ -51,7 +51,7 @@ def _tokenized(path: str, capacity: int, end_id: int):
             split = [t.split() for t in texts]
             if len(cache) > CACHE_WORDS:
                 cache = {}
-            new = list(set().union(*split) - cache.keys())
+            new = list(set().union(*split).difference(cache))
             for i in range(0, len(new), 20_000):
                 some = new[i : i + 20_000]
                 coded = tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
