@@ -105,8 +105,18 @@ def test_whole_chain(inputs):
     assert (six["location_mode"], six["city"]) == ("hybrid", "Lyon")
     assert six["primary_technologies"] == ["Ruby"]
     assert six["hybrid_remote_days_min_per_week"] == 4 and six["score"] == 73
-    assert "enrich" not in found[2]["steps_details"]
-    assert found[2]["score"] == 0
+    for skipped in (2, 4, 5, 7, 8):  # rejected, without a page or without a response
+        assert found[skipped]["score"] is None and "score" not in found[skipped]["steps_details"]
+
+
+def test_a_late_response_is_scored_when_it_comes(spark, inputs):
+    offers, pages, responses = inputs
+    first = run_stages(offers, pages, responses.limit(0), PROFILE, F.lit(NOW)).drop("topcard_text")
+    assert all(r["score"] is None and "score" not in r["steps_details"] for r in first.collect())
+    second = by_id(run_stages(first, pages, responses, PROFILE, F.lit(NOW + dt.timedelta(days=1))))
+    assert second[1]["score"] == 100 and second[6]["score"] == 73
+    assert second[1]["steps_details"]["score"]["at"] == "2026-04-02T10:00:00Z"
+    assert second[2]["score"] is None and second[2]["rejected"]
 
 
 def test_second_run_changes_nothing(spark, inputs, tmp_path):
