@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerloom.llm.labelled_pages import PAGES
+from offerloom.llm.labelled_pages import PAGES, named_parts
 
 # fixed values: element kinds of HTML, and words of class, id and role attributes
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label map mark nobr output picture q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -175,32 +175,52 @@ def features(parents, tags, attributes, chunks) -> list[tuple[str, ...]]:
             "kind " + KIND.get(tags[i], "other"),
             "hint " + (hint(attributes[i]) if attributes[i] else "none"),
             "links " + ("some" if 0 < density < 0.4 else "many" if density else "no"),
-            "own " + ("none" if not own[i] else "short" if own[i] < 60 else "long"),
+            "own " + ("none" if not own[i] else "short" if own[i] < 60 else "long" if own[i] < 200 else "very long"),
         ))
     return out
 
 
+def labels(parents, attributes) -> list[int]:
+    """Labels of a training page's nodes, from the nearest data-y around each."""
+    label: list[int] = []
+    for parent, own in zip(parents, attributes, strict=True):
+        mark = re.search(r'data-y="([01])"', own)
+        label.append(int(mark[1]) if mark else label[parent] if label else 0)
+    return label
+
+
+def holder(told: tuple[str, ...]) -> str:
+    """What a node is to its children: its kind, or an article if its name says so."""
+    return "article" if told[1] == "hint content" else told[0].removeprefix("kind ")
+
+
 class Model:
     """Potentials counted on labelled pages."""
 
     def __init__(self, pages: list[str]):
         own: dict[str, list[float]] = defaultdict(lambda: [0.5, 0.5])
-        pair = np.full((2, 2), 0.5)
+        pair = defaultdict(lambda: np.full((2, 2), 0.5))
         total = [1.0, 1.0]
         for page in pages:
             parents, tags, attributes, chunks = parse(page)
-            label: list[int] = []
-            for i, (parent, told) in enumerate(zip(parents, features(parents, tags, attributes, chunks), strict=True)):
-                mark = re.search(r'data-y="([01])"', attributes[i])
-                label.append(int(mark[1]) if mark else label[parent] if i else 0)
+            label = labels(parents, attributes)
+            for i in range(len(parents) - 1, 0, -1):  # what holds content is on the way to it
+                label[parents[i]] |= label[i]
+            told = features(parents, tags, attributes, chunks)
+            for i, parent in enumerate(parents):
                 total[label[i]] += 1
-                for f in told:
+                for f in told[i]:
                     own[f][label[i]] += 1
                 if i:
-                    pair[label[parent], label[i]] += 1
+                    for kind in (holder(told[parent]), "any"):
+                        pair[kind][label[parent], label[i]] += 1
         self.own = {f: (c[0] / total[0], c[1] / total[1]) for f, c in own.items()}
+        self.own["kind page"] = (1e-6, 1.0)  # the page as a whole holds whatever content there is
         prior = np.array(total) / sum(total)
-        self.pair = (pair / pair.sum(axis=1, keepdims=True)).tolist()
+        # by the parent's kind, leaning on all kinds where it is rare
+        shared = pair["any"] / pair["any"].sum(axis=1, keepdims=True)
+        self.pair = {kind: (c := counts + 4 * shared) / c.sum(axis=1, keepdims=True) for kind, counts in pair.items()}
+        self.pair = {kind: rows.tolist() for kind, rows in self.pair.items()}
         self.prior = prior.tolist()
 
     def marginals(self, parents: list[int], told: list[tuple[str, ...]]) -> list[float]:
@@ -213,10 +233,11 @@ class Model:
                 p = self.own.get(f, (1.0, 1.0))
                 a, b = a * p[0], b * p[1]
             here.append([a / (a + b), b / (a + b)])
-        (k00, k01), (k10, k11) = self.pair
+        between = [self.pair.get(holder(fs), self.pair["any"]) for fs in told]
         up = [None] * n
         for i in range(n - 1, 0, -1):
             a, b = here[i]
+            (k00, k01), (k10, k11) = between[parents[i]]
             m0, m1 = k00 * a + k01 * b, k10 * a + k11 * b
             up[i] = (m0, m1)
             p = here[parents[i]]
@@ -228,6 +249,7 @@ class Model:
         for i in range(n):
             a, b = here[i]
             if i:
+                (k00, k01), (k10, k11) = between[parents[i]]
                 q0, q1 = belief[parents[i]]  # without what came from here
                 q0, q1 = q0 / up[i][0], q1 / up[i][1]
                 a, b = a * (q0 * k00 + q1 * k10), b * (q0 * k01 + q1 * k11)
@@ -244,7 +266,7 @@ class Model:
 
 
 def train() -> Model:
-    return Model(PAGES)
+    return Model(PAGES + named_parts({hint: words for hint, words in HINTS.items() if hint != "content"}, HINTS["content"]))
 
 
 def _extracted(model):

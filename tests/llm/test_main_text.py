@@ -4,8 +4,8 @@ import re
 
 import pytest
 
-from offerloom.llm.labelled_pages import PAGES
-from offerloom.llm.main_text import Model, extract, features, parse, train
+from offerloom.llm.labelled_pages import PAGES, named_parts
+from offerloom.llm.main_text import HINTS, Model, extract, features, holder, labels, parse, train
 
 
 def plain(page):
@@ -27,7 +27,7 @@ def test_marginals_equal_the_sum_over_all_labellings():
                 for f in own[i]:
                     p *= model.own.get(f, (1.0, 1.0))[y]
                 if i:
-                    p *= model.pair[labels[parents[i]]][y]
+                    p *= model.pair.get(holder(own[parents[i]]), model.pair["any"])[labels[parents[i]]][y]
             total += p
             for i, y in enumerate(labels):
                 weight[i] += p * y
@@ -36,16 +36,14 @@ def test_marginals_equal_the_sum_over_all_labellings():
 
 @pytest.mark.parametrize("left_out", range(len(PAGES)))
 def test_held_out_labelled_page(left_out):
-    model = Model([p for i, p in enumerate(PAGES) if i != left_out])
+    aside = {hint: words for hint, words in HINTS.items() if hint != "content"}
+    model = Model([p for i, p in enumerate(PAGES) if i != left_out] + named_parts(aside, HINTS["content"]))
     page = PAGES[left_out]
     parents, tags, attributes, chunks = parse(page)
-    label = []
-    for i, parent in enumerate(parents):
-        mark = re.search(r'data-y="([01])"', attributes[i])
-        label.append(int(mark[1]) if mark else label[parent] if i else 0)
+    label = labels(parents, attributes)
     got = model.marginals(parents, features(*parse(plain(page))))
     right = sum(len(t) for node, t, _ in chunks if (got[node] > 0.5) == label[node])
-    assert right >= 0.8 * sum(len(t) for _, t, _ in chunks)
+    assert right >= 0.9 * sum(len(t) for _, t, _ in chunks)
 
 
 def test_broken_markup_references_and_white_space():
