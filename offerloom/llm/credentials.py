@@ -101,7 +101,10 @@ def _scanned(rows: DataFrame) -> DataFrame:
     all_spans = spans.filter(F.col("kind") < len(BASE)).union(_linked(spans))
     listed = all_spans.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"))
     empty = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
-    return rows.drop("matches").join(listed, "row", "left").withColumn("spans", F.coalesce("spans", empty))
+    # only rows with matches meet their spans; the others, most of them, stay where they are
+    found = rows.filter(F.size("matches") > 0).drop("matches").join(listed, "row", "left")
+    rest = rows.filter(F.size("matches") == 0).drop("matches").withColumn("spans", empty)
+    return found.withColumn("spans", F.coalesce("spans", empty)).unionByName(rest)
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -122,7 +125,7 @@ MASK = "[secret]"
 def redact(docs: DataFrame) -> DataFrame:
     """The rows of docs(text, ...), all columns, with each stretch that spans of scan() cover replaced by MASK."""
     inner = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce("text", F.lit("")).alias("text"), F.struct("*").alias("own"))
-    found = _scanned(stash(_parts(inner)))
+    found = _scanned(stash(_parts(inner).drop("text"))).withColumn("text", F.coalesce("own.text", F.lit("")))
 
     def step(state: Column, span: Column) -> Column:
         gap = F.substring(F.col("text"), (state["at"] + 1).cast("int"), (span["start"] - state["at"]).cast("int"))
