@@ -7,15 +7,16 @@ import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from offerloom.fixed_values import DETAIL_COLUMNS, LIST_COLUMNS, SORT_KEYS, STEPS
 from offerloom.functions.arrays import or_empty, overlaps, step_time, union_distinct
 from offerloom.functions.dates import preset_range
 from offerloom.functions.text import search_label
 
-# rows that one page request may rank in memory; deeper pages are located first
-SHALLOW_ROWS = 10_000
+TOP_ROWS = 10_000  # rows that one top-k may rank in memory
+SAMPLED_KEYS = 4096  # keys that one narrowing step looks at
+RANGES = 64  # ranges that one narrowing step counts
 
 
 @dataclass
@@ -170,45 +171,59 @@ def sort_order(params: SearchParams) -> list[Column]:
 
 
 def search_page(offers: DataFrame, params: SearchParams) -> DataFrame:
-    """One page of matches, in order.
-
-    A shallow page is a top-k: every task keeps page*per_page rows at most. A
-    deep page would rank too many rows in one place, so it is located first (see
-    ``deep_page``).
-    """
+    """One page of matches, in order."""
     rows = _with_first_seen(matching(offers, params))
-    order = sort_order(params)
-    offset = (params.page - 1) * params.per_page
-    if offset + params.per_page <= SHALLOW_ROWS:
-        return rows.orderBy(*order).offset(offset).limit(params.per_page)
-    return deep_page(rows, params, offset)
+    return page_at(rows, params, (params.page - 1) * params.per_page)
 
 
-def deep_page(rows: DataFrame, params: SearchParams, offset: int) -> DataFrame:
-    """Exact page at any depth.
+def _after(params: SearchParams, bound: tuple) -> Column:
+    """Whether a row stands after (sort key, id) in the order of ``sort_order``."""
+    value, row_id = bound
+    key = F.col(params.sort_by)
+    if value is None:
+        return key.isNull() & (F.col("id") > row_id)
+    beyond = key > F.lit(value) if params.sort_direction == "asc" else key < F.lit(value)
+    return key.isNull() | beyond | ((key == F.lit(value)) & (F.col("id") > row_id))
 
-    Sort key and id are range-partitioned and sorted once; the row count of each
-    range tells which ranges the page lies in, and only their rows are kept.
-    The id is part of the range key, so equal sort keys spread over many ranges.
+
+def page_at(rows: DataFrame, params: SearchParams, offset: int, top_rows: int = TOP_ROWS) -> DataFrame:
+    """Exact page at any depth: a top-k inside the key range that holds it.
+
+    While the page lies too deep in its range, a bounded sample of (key, id)
+    cuts the range, one aggregation counts the rows after each cut, and the range
+    shrinks to the cuts around the page. What reaches the driver is the sample
+    and one row of counts. The id is part of the key, so equal sort keys are cut
+    like any others.
     """
     order = sort_order(params)
-    keys = rows.select("id", params.sort_by)
-    ranged = (
-        keys.repartitionByRange(*order)
-        .withColumn("_range", F.spark_partition_id())
-        .checkpoint()
-    )
-    counts = sorted(
-        (r["_range"], r["count"]) for r in ranged.groupBy("_range").count().collect())
-    before, in_page = 0, F.lit(False)
-    for part, count in counts:
-        low, high = offset - before, offset - before + params.per_page
-        if low < count and high > 0:
-            in_page |= (F.col("_range") == part) & F.col("_place").between(low + 1, high)
-        before += count
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    wanted = ranged.withColumn("_place", place).where(in_page).select("id")
-    return rows.join(wanted, "id", "left_semi").orderBy(*order)
+    lower, upper = [], []  # predicates that bound the range
+    while offset + params.per_page > top_rows:
+        inside = rows
+        for condition in lower + upper:
+            inside = inside.where(condition)
+        keys = inside.select(params.sort_by, "id")
+        sample = keys.orderBy(F.xxhash64("id"), "id").limit(SAMPLED_KEYS)
+        cuts = [tuple(r) for r in sample.orderBy(*order).collect()]
+        cuts = cuts[:: max(1, len(cuts) // RANGES)]
+        if not cuts:
+            break
+        counts = keys.agg(F.count("*"), *[F.count(F.when(_after(params, c), 1)) for c in cuts]).first()
+        total, behind = counts[0], list(counts[1:])  # rows after each cut, falling
+        before = [total - n for n in behind]
+        first = max((i for i, n in enumerate(before) if n <= offset), default=None)
+        last = min((i for i, n in enumerate(before) if n >= offset + params.per_page), default=None)
+        if first is None and last is None:
+            break
+        if first is not None:
+            lower = [_after(params, cuts[first])]
+            offset -= before[first]
+        if last is not None:
+            upper = [~_after(params, cuts[last])]
+        if first is None or before[first] == 0:
+            break
+    for condition in lower + upper:
+        rows = rows.where(condition)
+    return rows.orderBy(*order).offset(offset).limit(params.per_page)
 
 
 def search_totals(offers: DataFrame, params: SearchParams) -> DataFrame:

@@ -253,13 +253,10 @@ SELECT id, CAST(score AS BIGINT) AS score FROM base WHERE NOT rejected
 ORDER BY score DESC NULLS LAST, id LIMIT 50 OFFSET (
   SELECT greatest(count(*) // 50 - 3, 0) * 50 FROM base WHERE NOT rejected)""")
 def search_deep_page(spark, folder):
-    from offerloom.sources.tables import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(spark)
     rows = search.visible(offers_base(spark, folder))
     offset = max(rows.count() // 50 - 3, 0) * 50
     params = search.SearchParams(per_page=50, sort_by="score")
-    return search.deep_page(rows, params, offset).select(
+    return search.page_at(rows, params, offset, top_rows=1000).select(
         "id", F.col("score").cast("long").alias("score"))
 
 
