@@ -4,9 +4,14 @@ Largest inner product becomes nearest direction by one more component (vectors
 scaled by the largest norm, padded to length one; queries padded by zero). Each
 tree splits a bounded sample by planes midway between two of its points; every
 row then walks down every tree. A query keeps one priority queue over all trees
-and opens the most promising leaf, of any tree, until they hold SEARCH rows.
-Rows and queries meet in their leaves, where exact scores are taken on the
-original vectors; the best of all leaves are the answer.
+and opens the most promising leaf, of any tree, until they hold a given share of
+the index. Rows and queries meet in their leaves, where exact scores are taken
+on the original vectors; the best of all leaves are the answer.
+
+How large that share must be depends on the data: little for vectors in groups,
+much for vectors without any structure. It is measured on the sample, against
+all its pairs, for a recall of TARGET. Nearest rows of a larger table are nearer
+than those of its sample, so the share errs on the safe side.
 
 A leaf with many rows, or asked by many queries, is cut into a grid of bounded
 tasks. Trees and leaf counts are bounded by the sample and travel to all tasks.
@@ -25,9 +30,10 @@ from offerloom.llm.shared import stash
 
 SAMPLE = 20_000  # rows that the trees are fitted on
 TREES = 4
-LEAF_ROWS = 400  # aimed at, while the sample allows
+LEAF_ROWS = 2000  # aimed at, while the sample allows
 LEAST_LEAF = 8  # sampled rows a leaf keeps
-SEARCH = 6000  # rows in the leaves a query opens
+TARGET = 0.95  # of the nearest rows of a sampled query, found in the share of leaves it opens
+PROBES = 300  # sampled queries that measure it
 CELL_ROWS = 5000  # rows, and queries, of one task's leaf cell at most, about
 
 
@@ -110,6 +116,26 @@ class Forest:
         rest = np.sqrt(np.maximum(0, 1 - (scaled**2).sum(axis=1)))
         return np.hstack([scaled, rest[:, None]]).astype(np.float32)
 
+    def share(self, points: np.ndarray, k: int) -> float:
+        """Share of the index that a query has to open, measured on the sample."""
+        padded = self.padded(points)
+        leaves = [t.leaf_of(padded) for t in self.trees]
+        self.counts = [np.bincount(leaf, minlength=t.leaves) for leaf, t in zip(leaves, self.trees, strict=True)]
+        found = []
+        for i in np.random.default_rng(23).permutation(len(points))[:PROBES]:
+            scores = points @ points[i]
+            scores[i] = -np.inf
+            best = np.argpartition(-scores, min(k, len(scores) - 1))[:k]
+            best = best[np.isfinite(scores[best])]
+            when = np.full(len(best), np.inf)  # rows opened by the time that each is
+            rows = 0
+            for tree, leaf in self.opened(points[i], 1 << 62):
+                rows += int(self.counts[tree][leaf])
+                when = np.where(leaves[tree][best] == leaf, np.minimum(when, rows), when)
+            found.append(when)
+        found = np.concatenate(found) if found else np.zeros(0)
+        return float(np.quantile(found, TARGET, method="higher")) / (TREES * len(points)) if len(found) else 1.0
+
     def opened(self, query: np.ndarray, search: int) -> list[tuple[int, int]]:
         """Leaves (tree, leaf) in the order of one queue over all trees, until they hold `search` rows."""
         point = np.append(query / np.linalg.norm(query), 0).astype(np.float32)
@@ -136,8 +162,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _walked(shared):
-    schema = pa.schema([("tree", pa.int32()), ("leaf", pa.int32()), ("vec_id", pa.int64()), ("vector", pa.list_(pa.float64()))])
+def _walked(shared, kind: str):
+    schema = pa.schema([("tree", pa.int32()), ("leaf", pa.int32()), ("vec_id", pa.int64()), ("vector", pa.list_(pa.float32() if kind == "float" else pa.float64()))])
 
     def run(batches):
         forest = shared.value
@@ -148,11 +174,11 @@ def _walked(shared):
                     leaf = tree.leaf_of(points)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(leaf), k, np.int32)), pa.array(leaf.astype(np.int32)), batch.column(0), batch.column(1)], schema=schema)
 
-    return run, "tree int, leaf int, vec_id long, vector array<double>"
+    return run, f"tree int, leaf int, vec_id long, vector array<{kind}>"
 
 
-def _asked(shared, search):
-    schema = pa.schema([("tree", pa.int32()), ("leaf", pa.int32()), ("vec_id", pa.int64()), ("vector", pa.list_(pa.float64()))])
+def _asked(shared, search: int, kind: str):
+    schema = pa.schema([("tree", pa.int32()), ("leaf", pa.int32()), ("vec_id", pa.int64()), ("vector", pa.list_(pa.float32() if kind == "float" else pa.float64()))])
 
     def run(batches):
         forest = shared.value
@@ -184,19 +210,24 @@ def _best(k: int):
         vectors = _matrix(queries.column("vector").combine_chunks())
         out = []
         for i in range(0, len(asked), 64):
-            # one order of summing for every pair, so that equal vectors score the same everywhere
-            scores = np.einsum("ij,kj->ik", vectors[i : i + 64], base)
-            scores[asked[i : i + 64, None] == ids] = -np.inf
-            best = np.argsort(-scores, axis=1, kind="stable")[:, :k]  # ids ascend, so ties keep the smaller
-            for j, row in enumerate(best):
-                row = row[np.isfinite(scores[j, row])]
-                out.append(pa.table([np.full(len(row), asked[i + j]), ids[row], scores[j, row]], schema=schema))
+            rough = vectors[i : i + 64] @ base.T
+            rough[asked[i : i + 64, None] == ids] = -np.inf
+            for j, row in enumerate(rough):
+                if len(row) > k:  # rounding must not part ties
+                    edge = np.partition(row, len(row) - k)[len(row) - k]
+                    some = np.flatnonzero((row >= edge - 1e-9 * (1 + abs(edge))) & np.isfinite(row))
+                else:
+                    some = np.flatnonzero(np.isfinite(row))
+                # one order of summing for every pair, so that equal vectors score the same everywhere
+                scores = (base[some] * vectors[i + j]).sum(axis=1)
+                best = np.lexsort((ids[some], -scores))[:k]
+                out.append(pa.table([np.full(len(best), asked[i + j]), ids[some][best], scores[best]], schema=schema))
         return pa.concat_tables(out).combine_chunks()
 
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, search: int = SEARCH) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """The k rows of vectors(vec_id, embedding, ...) with the largest inner product found for
     each of queries(vec_id, embedding, ...): query_id, rank, vec_id, score; ties to the smaller vec_id.
 
@@ -204,13 +235,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, search: int = S
     a null or non-finite component, take no part; nor do those whose length is
     not the most frequent one. Of rows that repeat a vec_id, the one with the
     least vector counts. Other columns are not looked at. Empty tables give an
-    empty result. Scores are exact; which rows are found is approximate once
-    there are more than `search` rows in the opened leaves.
+    empty result. Scores are exact; which rows are found is approximate.
     """
     spark = vectors.sparkSession
+    kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
 
     def usable(df: DataFrame) -> DataFrame:
-        df = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
+        df = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("vector"))
         finite = F.forall("vector", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))  # NaN compares above infinity
         return df.filter(F.col("vec_id").isNotNull() & finite & F.exists("vector", lambda x: x != 0))
 
@@ -224,19 +255,21 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, search: int = S
     rows = stash(rows.groupBy("vec_id").agg(F.min("vector").alias("vector")))
     queries = queries.groupBy("vec_id").agg(F.min("vector").alias("vector"))
 
-    norm = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
+    norm = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     count, largest = rows.agg(F.count("*"), F.sqrt(F.max(norm))).first()
     share = 2.0 * SAMPLE / count
     drawn = rows.withColumn("key", F.xxhash64("vec_id", F.lit(3))).filter(F.expr(f"pmod(key, 1000000000) < {share * 1e9:.0f}"))
     drawn = drawn.orderBy("key", "vec_id").limit(SAMPLE).select("vector").collect()
-    forest = Forest(np.array([r["vector"] for r in drawn]).reshape(len(drawn), -1), largest * (1 + 1e-9), count)
-    run, schema = _walked(spark.sparkContext.broadcast(forest))
+    points = np.array([r["vector"] for r in drawn], np.float64).reshape(len(drawn), -1)
+    forest = Forest(points, largest * (1 + 1e-9), count)
+    search = int(np.ceil(forest.share(points, k) * TREES * count))
+    run, schema = _walked(spark.sparkContext.broadcast(forest), kind)
     index = stash(rows.mapInArrow(run, schema))
     counts = index.groupBy("tree", "leaf").agg(F.count("*").alias("rows"))
     forest.counts = [np.zeros(t.leaves, np.int64) for t in forest.trees]
     for row in counts.collect():  # as many as leaves
         forest.counts[row["tree"]][row["leaf"]] = row["rows"]
-    asked = stash(queries.mapInArrow(_asked(spark.sparkContext.broadcast(forest), search), schema))
+    asked = stash(queries.mapInArrow(_asked(spark.sparkContext.broadcast(forest), search, kind), schema))
 
     # a grid over each leaf: rows in `r` parts, queries in `q` parts, every part meeting every other once
     grid = asked.groupBy("tree", "leaf").agg(F.count("*").alias("asks")).join(counts, ["tree", "leaf"])
