@@ -21,7 +21,8 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def op9_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
-    return ngram_jaccard(_table(spark, folder, "documents"), width=4, threshold=85)
+    found = ngram_jaccard(_table(spark, folder, "documents"), width=4, threshold=85)
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 def _held_out(parts: int, part: int):
@@ -122,6 +123,51 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP9_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i+3], ' '))) END AS grams FROM docs
+), grams AS (
+  SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM sets
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c, any_value(a.n) AS n, any_value(b.n) AS m
+  FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT a, b FROM shared WHERE 100 * c >= 85 * (n + m - c)
+), arcs AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT doc_id AS node, doc_id AS found FROM sets
+  UNION SELECT reach.node, arcs.b FROM reach JOIN arcs ON arcs.a = reach.found
+)
+SELECT sets.doc_id, CAST(len(grams) AS BIGINT) AS n_shingles, component_id
+FROM sets JOIN (SELECT node, min(found) AS component_id FROM reach GROUP BY node) ON node = sets.doc_id
+"""
+
+OP10_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), windows AS (
+  SELECT doc_id, unnest(range(1, len(ws) - 18)) AS start,
+    unnest(list_transform(range(1, len(ws) - 18), lambda i: array_to_string(ws[i:i+19], ' '))) AS seq
+  FROM docs WHERE len(ws) >= 20
+), placed AS (
+  SELECT doc_id, start, row_number() OVER (PARTITION BY seq ORDER BY doc_id, start) > 1 AS copied FROM windows
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(start, start + 20)) AS place FROM placed WHERE copied
+), words AS (
+  SELECT doc_id, unnest(range(1, len(ws) + 1)) AS place, unnest(ws) AS word FROM docs
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS text, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id
+)
+SELECT docs.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (doc_id)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_secret_scan": op2_secret_scan,
@@ -135,4 +181,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-SQL: dict[str, str] = {"op6_chat_format": OP6_SQL}
+SQL: dict[str, str] = {"op6_chat_format": OP6_SQL, "op9_ngram_jaccard": OP9_SQL, "op10_substring_dedup": OP10_SQL}
