@@ -29,15 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLED = 3000  # labelled texts of each label at most
-SAMPLE_CHARS = 20_000  # of each sampled text
+SAMPLED = 2000  # labelled texts of each label at most
+SAMPLE_CHARS = 10_000  # of each sampled text
 LANDMARKS = 96
 NEGATIVES = 5000  # words of clean texts in the first fit
 NOISY = 80  # telling words that also train with letters inserted
 SPAN = 7  # letters that a triple may reach over
 DECAY = 0.7
 LONGEST = 24  # letters; longer words are read in halfway overlapping windows
-CACHE = 600_000  # distinct words a worker keeps the scores of
+CACHE = 300_000  # distinct words a worker keeps the scores of
 
 _PAIRS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 
@@ -289,8 +289,8 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     return model
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int]]:
-    """Texts and labels of up to SAMPLED documents of each label, the ones with the least hashes of their ids."""
+def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic, text) of up to SAMPLED documents of each label, the ones with the least hashes of their ids."""
     marked = labels.filter("doc_id is not null and toxic in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     counts = dict(marked.groupBy("toxic").count().collect())
     share = F.create_map(*[F.lit(x) for t in (0, 1) for x in (t, min(1.0, 4.0 * SAMPLED / counts.get(t, 1)))])
@@ -298,9 +298,25 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int]]:
     order = Window.partitionBy("toxic").orderBy("key", "doc_id")
     some = some.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= SAMPLED).select("doc_id", "toxic").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(F.col("text").cast("string"), 1, SAMPLE_CHARS).alias("text"))
-    rows = texts.join(F.broadcast(some), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["toxic"]))
-    return [r["text"] or "" for r in rows], [r["toxic"] for r in rows]
+    return texts.join(F.broadcast(some), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+
+
+def fitted(docs: DataFrame, labels: DataFrame) -> Model:
+    """Model of the sampled labelled documents, trained in one task on the bounded sample; the driver gets its weights."""
+    schema = pa.schema([("weights", pa.binary()), ("floor", pa.float64()), ("slope", pa.float64()), ("offset", pa.float64())])
+
+    def run(batches):
+        rows = sorted((r["doc_id"], r["toxic"], r["text"] or "") for batch in batches for r in batch.to_pylist())
+        model = train([text for _, _, text in rows], [toxic for _, toxic, _ in rows])
+        values = [model.weights.tobytes(), model.floor, model.slope, model.offset]
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, schema.types, strict=True)], schema=schema)
+
+    rows = sample(docs, labels).coalesce(1).mapInArrow(run, "weights binary, floor double, slope double, offset double").collect()
+    if not rows:
+        return train([], [])
+    model = Model(np.frombuffer(bytes(rows[0]["weights"])), rows[0]["floor"])
+    model.slope, model.offset = rows[0]["slope"], rows[0]["offset"]
+    return model
 
 
 def _texts_scored(model: Model, cache: dict[str, float], column: pa.Array) -> np.ndarray:

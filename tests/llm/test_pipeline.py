@@ -31,7 +31,7 @@ def test_each_stage_against_brute_force(spark):
 
     before = docs.collect()
     kept = stash(toxic(spark, docs, FOLDER))
-    model = toxicity.train(*toxicity.sample(docs, spark.read.parquet(f"{FOLDER}/labels.parquet")))
+    model = toxicity.fitted(docs, spark.read.parquet(f"{FOLDER}/labels.parquet"))
     want = {r.doc_id for r in toxicity.score(docs, model).filter("predicted = 0").collect()}
     assert kept.columns == columns and {r.doc_id for r in kept.collect()} == want
 

@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 
 from offerloom.llm import toxicity
-from offerloom.llm.toxicity import Landmarks, instances, letters, sample, score, train
+from offerloom.llm.toxicity import Landmarks, fitted, instances, letters, score, train
 
 
 def brute_features(word):
@@ -66,7 +66,7 @@ def test_held_out_and_odd_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     learn = labels.filter("pmod(crc32(cast(doc_id as string)), 5) <> 0")
-    model = train(*sample(docs, learn))
+    model = fitted(docs, learn)
     odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "!!! 12"), (None, "an idiot"), (-4, "x" * 3000), (-1, None)], "doc_id long, text string")
     got = score(docs.select("doc_id", "text").union(odd), model).collect()
     assert len(got) == docs.count() + 6 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
@@ -80,6 +80,6 @@ def test_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1), (None, 0), (2, None)], "doc_id long, toxic int")
     some = spark.createDataFrame([(1, "text of words"), (1, "text of words")], "doc_id long, text string")
-    model = train(*sample(none, labels))
+    model = fitted(none, labels)
     assert score(none, model).collect() == []
-    assert [r.predicted for r in score(some, train(*sample(some, labels))).collect()] == [0, 0]
+    assert [r.predicted for r in score(some, fitted(some, labels)).collect()] == [0, 0]
