@@ -30,11 +30,11 @@ from offerloom.llm.shared import stash
 
 SAMPLE = 20_000  # rows that the trees are fitted on
 TREES = 4
-LEAF_ROWS = 2000  # aimed at, while the sample allows
+LEAF_ROWS = 8000  # aimed at, while the sample allows
 LEAST_LEAF = 8  # sampled rows a leaf keeps
 TARGET = 0.95  # of the nearest rows of a sampled query, found in the share of leaves it opens
 PROBES = 300  # sampled queries that measure it
-CELL_ROWS = 5000  # rows, and queries, of one task's leaf cell at most, about
+CELL_ROWS = 20_000  # rows, and queries, of one task's leaf cell at most, about
 
 
 class Tree:
