@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLED = 2000  # labelled texts of each label at most
-SAMPLE_CHARS = 10_000  # of each sampled text
+COPY = 0.7  # of the words of two texts in common: one is a near copy
 LANDMARKS = 96
 NEGATIVES = 5000  # words of clean texts in the first fit
 NOISY = 80  # telling words that also train with letters inserted
@@ -209,25 +209,37 @@ def telling_words(bags: list[set[bytes]], y: np.ndarray) -> dict[bytes, float]:
     return sure or dict(sorted(found.items(), key=lambda x: (-x[1], x[0]))[:10])
 
 
-def without_copies(bags: list[set[bytes]]) -> list[int]:
-    """Places of bags that are not near copies of earlier ones: none of four two-value sketches agrees.
+def without_copies(bags: list[set[bytes]], toxic: list[int]) -> list[int]:
+    """Places of bags that are not near copies of earlier kept ones: same label and at least COPY of the words in common.
 
-    Copies carry one judgement many times, which would make all their words look telling.
+    Copies carry one judgement many times, which would make all their words look
+    telling. Four sketches of two least word hashes propose earlier bags; only
+    the words themselves decide.
     """
     place = {w: i for i, w in enumerate(sorted(set().union(*bags)))}
     base = np.array([zlib.crc32(w) for w in place], np.uint64)
     hashes = [((base + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15 + 2 * seed)) >> np.uint64(20) for seed in range(4)]
-    seen: set[tuple] = set()
+    seen: dict[tuple, list[int]] = {}
     kept = []
     for i, bag in enumerate(bags):
         own = np.fromiter((place[w] for w in bag), np.int64, len(bag))
-        keys = {(seed, *np.sort(h[own])[:2].tolist()) for seed, h in enumerate(hashes)}
-        if not keys & seen:
+        keys = [(toxic[i], seed, *np.sort(h[own])[:2].tolist()) for seed, h in enumerate(hashes)]
+        if not any(_near(bag, bags[j]) for j in dict.fromkeys(j for key in keys for j in seen.get(key, ()))):
             kept.append(i)
-        seen |= keys
+            for key in keys:
+                seen.setdefault(key, []).append(i)
     return kept
 
 
+def _near(a: set[bytes], b: set[bytes]) -> bool:
+    """Whether the Jaccard similarity of two word sets is COPY or more; two empty ones are equal."""
+    less, more = sorted((len(a), len(b)))
+    if less < COPY * more:
+        return False
+    both = len(a & b)
+    return both >= COPY * (less + more - both)
+
+
 def train(texts: list[str], toxic: list[int]) -> Model:
     """Model of labelled texts; one that finds nothing toxic if either label is missing."""
     y = np.array(toxic, int)
@@ -237,7 +249,7 @@ def train(texts: list[str], toxic: list[int]) -> Model:
         words = instances(text)
         coded_words.update((w, letters(w)[:LONGEST]) for w in words.difference(coded_words))
         bags.append({coded_words[w] for w in words})
-    kept = without_copies(bags)
+    kept = without_copies(bags, toxic)
     bags, y = [bags[i] for i in kept], y[kept]
     toxic = y.tolist()
     telling = telling_words([{w for w in b if len(w) > 2} for b in bags], y) if 0 < y.sum() < len(y) else {}
@@ -290,14 +302,14 @@ def train(texts: list[str], toxic: list[int]) -> Model:
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, toxic, text) of up to SAMPLED documents of each label, the ones with the least hashes of their ids."""
+    """(doc_id, toxic, whole text) of up to SAMPLED documents of each label, the ones with the least hashes of their ids."""
     marked = labels.filter("doc_id is not null and toxic in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     counts = dict(marked.groupBy("toxic").count().collect())
     share = F.create_map(*[F.lit(x) for t in (0, 1) for x in (t, min(1.0, 4.0 * SAMPLED / counts.get(t, 1)))])
     some = marked.withColumn("key", F.xxhash64("doc_id", F.lit(11))).filter(F.pmod("key", F.lit(1_000_000)) < share[F.col("toxic")] * 1_000_000)
     order = Window.partitionBy("toxic").orderBy("key", "doc_id")
     some = some.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= SAMPLED).select("doc_id", "toxic").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(F.col("text").cast("string"), 1, SAMPLE_CHARS).alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.join(F.broadcast(some), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
 

@@ -83,3 +83,29 @@ def test_without_labels_or_rows(spark):
     model = fitted(none, labels)
     assert score(none, model).collect() == []
     assert [r.predicted for r in score(some, fitted(some, labels)).collect()] == [0, 0]
+
+
+def test_only_near_copies_of_one_label_are_left_out():
+    rng = random.Random(6)
+    everyday = [bytes([1 + i // 26, 1 + i % 26, 3]) for i in range(120)]
+    apart = [set(rng.choices(everyday[:8], k=6)) | set(rng.sample(everyday[8:], 20)) for _ in range(300)]
+    labels = [i % 2 for i in range(300)]
+    share = max(len(a & b) / len(a | b) for a, b in itertools.combinations(apart, 2))
+    assert share < toxicity.COPY
+    assert toxicity.without_copies(apart, labels) == list(range(300))
+    near = [bag | {bytes([30, 30, 1 + i % 26])} for i, bag in enumerate(apart)]
+    kept = toxicity.without_copies(apart + near, labels + labels)
+    assert kept[:300] == list(range(300)) and len(kept) < 330
+    assert len(toxicity.without_copies([apart[0]] * 50, [0, 1] * 25)) == 2
+    assert toxicity.without_copies([set(), set(), apart[0]], [0, 0, 0]) == [0, 2]
+
+
+def test_words_late_in_a_long_sampled_text_are_learned(spark):
+    digits = str.maketrans("0123456789", "bcdfghjklm")
+    quiet = " ".join(f"{a}{b}ening" for a in "bcdfghjklm" for b in "aeiou") + " "
+    own = [" ".join(f"w{i}x{chr(97 + k)}" for k in range(26)) for i in range(60)]
+    texts = [(i, f"{quiet * 40} {'villain' if i % 2 else 'friend'} {own[i].translate(digits)}") for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in texts], "doc_id long, toxic int")
+    model = fitted(docs, labels)
+    assert model.probability(model.words(["villain"])[0]) >= 0.5 > model.probability(model.words(["friend"])[0])
