@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 REFERENCE_CHARS = 40_000  # of labelled text for each language
 ALL_REFERENCE_CHARS = 800_000  # of all languages together
-SAMPLED = 300  # labelled documents a language at most
+SAMPLED = 300  # distinct labelled texts a language at most
 LETTERS = 60  # the most frequent letters have classes of their own
 BLOCK = 512
 TOGETHER = 4096  # blocks parsed at once
@@ -191,18 +191,20 @@ def _predicted(shared):
 def references(labelled: DataFrame) -> dict[str, str]:
     """Up to REFERENCE_CHARS folded characters for each lang of labelled(text, lang).
 
-    A bounded sample: of each language SAMPLED documents with the least text
-    hashes, each cut at REFERENCE_CHARS.
+    A bounded sample: of each language SAMPLED distinct texts, the ones with the
+    least hashes, each cut at REFERENCE_CHARS. Copies count once. Only hashes are
+    counted and ranked; texts are read again for the places found.
     """
-    rows = labelled.filter("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), "text")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(ALL_REFERENCE_CHARS // 2000)
+    rows = labelled.filter("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.xxhash64("text", F.lit(7)).alias("key"), "text")
+    keys = rows.select("lang", "key").distinct()
+    counts = keys.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(ALL_REFERENCE_CHARS // 2000)
     share = counts.select("lang", (F.lit(4.0 * SAMPLED) / F.col("count")).alias("share"))
-    key = F.xxhash64("text", F.lit(7))
-    some = rows.withColumn("key", key).join(F.broadcast(share), "lang").filter("pmod(key, 1000000) < share * 1000000")
+    some = keys.join(F.broadcast(share), "lang").filter("pmod(key, 1000000) < share * 1000000")
     order = Window.partitionBy("lang").orderBy("key")
-    some = some.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= SAMPLED)
+    places = some.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= SAMPLED).select("lang", "key", "place")
+    text = F.min(F.substring("text", 1, REFERENCE_CHARS)).alias("text")
     found = defaultdict(list)
-    for row in some.select("lang", "place", F.substring("text", 1, REFERENCE_CHARS).alias("text")).collect():
+    for row in rows.join(F.broadcast(places), ["lang", "key"]).groupBy("lang", "place").agg(text).collect():
         found[row["lang"]].append((row["place"], row["text"]))
     limit = min(REFERENCE_CHARS, ALL_REFERENCE_CHARS // max(1, len(found)))
     texts = {lang: fold(" ".join(t for _, t in sorted(rows)))[:limit] for lang, rows in found.items()}

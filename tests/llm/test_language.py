@@ -76,3 +76,13 @@ def test_empty_tables(spark):
     some = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
     assert identify(none, none).collect() == []
     assert [tuple(r) for r in identify(some, some).collect()] == [(1, "und", 0.0)]
+
+
+def test_copies_neither_hide_a_language_nor_fill_its_reference(spark):
+    few = [("yy", f"distinct{'abcdefghijklmnopqrst'[i]}") for i in range(20)]
+    hot = spark.range(60_000).selectExpr("'yy' lang", "'copied passage' text")
+    many = spark.range(60_000).selectExpr("'zz' lang", "concat('word', translate(cast(id % 2000 as string), '0123456789', 'abcdefghij')) text")
+    rows = spark.createDataFrame(few, "lang string, text string").union(hot).union(many)
+    found = language.references(rows)
+    assert sorted(found["yy"].split()) == sorted([t for _, t in few] + ["copied", "passage"])
+    assert len(found["zz"].split()) == len(set(found["zz"].split())) == language.SAMPLED
