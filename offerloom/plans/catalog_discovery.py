@@ -9,7 +9,7 @@ from offerloom.functions import text
 from offerloom.functions.arrays import iso
 from offerloom.operators import discovery
 from offerloom.operators.latest import latest_per_key
-from offerloom.plans.registered import register
+from offerloom.plans.registered import CATALOG, register
 from offerloom.plans.views import (
     BASE_SQL,
     CRAWL_SQL,
@@ -76,6 +76,14 @@ def search_urls(spark, folder):
         "page", F.col("page").cast("long"))
 
 
+@register("search_urls_capped", "O-DSC-5", CATALOG["search_urls"].sql.replace(
+    "unnest([1, 2])", "unnest(range(1, 1 + CASE source WHEN 'france_travail' THEN 1 WHEN 'apec' THEN 25 ELSE 10 END))"))
+def search_urls_capped(spark, folder):
+    """Every page that a source may be crawled for."""
+    plan = discovery.launch_plan(keyword_rows(spark, folder), MODES)
+    return discovery.with_search_urls(plan).withColumn("page", F.col("page").cast("long"))
+
+
 MODE_TEXTS = ["remote", "Hybrid", "on-site", "onsite", "hybrid", ""]
 
 

@@ -2,10 +2,13 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from offerloom import schemas
 from offerloom.operators import discovery
 from offerloom.operators.latest import latest_per_key
+from offerloom.plans.catalog import CATALOG
+from offerloom.registry import active_sources
 
 T0 = dt.datetime(2026, 1, 1)
 
@@ -123,3 +126,9 @@ def test_latest_row_of_a_hot_key(spark):
     df = spark.createDataFrame(rows, "k string, n int, v string")
     assert sorted(map(tuple, latest_per_key(df, "k", ["n"]).collect())) == [
         ("cold", 3, "x"), ("hot", 499, "v499")]
+
+
+def test_registered_crawl_plan_has_every_page_of_a_source(spark, small_tables):
+    rows = CATALOG["search_urls_capped"].run(spark, small_tables).groupBy("source").agg(F.min("page"), F.max("page")).collect()
+    assert {r[0]: (r[1], r[2]) for r in rows} == {
+        s.name: (1, s.page_cap) for s in active_sources()}
