@@ -28,7 +28,7 @@ from offerloom.plans.views import (
     ts_text,
 )
 from offerloom.sources.profile import parse_profiles
-from offerloom.streaming.throttle import throttled
+from offerloom.streaming.throttle import CHUNK_MS, throttled
 
 SOURCES = ["linkedin", "hellowork", "apec", "cadremploi", "france_travail", "wttj"]
 
@@ -703,3 +703,30 @@ def throttle(spark, folder):
     events = table(spark, folder, "events").select(
         F.col("event_type").alias("key"), F.timestamp_millis(ms).alias("ts"))
     return throttled(events).select("key", F.unix_millis("ts").alias("ms"))
+
+
+# on the events' own time axis: four notices an event, and four around the end of its hour, so that chunks hand over to the next
+@register("throttle_hours", "O-STR-2", """WITH RECURSIVE given AS (
+  SELECT event_type AS key, epoch_us(ts) // 1000 AS t, (epoch_us(ts) // 1000 // 3600000 + 1) * 3600000 AS border FROM events),
+times AS MATERIALIZED (
+  SELECT DISTINCT key, CAST(ms AS BIGINT) AS ms FROM (
+    SELECT key, t + unnest([0, 400, 1000, 1700]) AS ms FROM given
+    UNION ALL SELECT key, border + t % 400 + unnest([-800, -400, 0, 400]) AS ms FROM given)),
+jumps AS MATERIALIZED (
+  SELECT a.key, a.ms, b.ms AS later FROM times a ASOF JOIN times b ON a.key = b.key AND a.ms + 1000 <= b.ms),
+sent(key, ms) AS (
+  SELECT key, ms FROM (SELECT *, lag(ms) OVER (PARTITION BY key ORDER BY ms) AS before FROM times)
+  WHERE before IS NULL OR ms >= before + 1000
+  UNION
+  SELECT j.key, j.later FROM sent JOIN jumps j ON j.key = sent.key AND j.ms = sent.ms)
+SELECT key, ms FROM sent""")
+def throttle_hours(spark, folder):
+    return throttled(hourly_notices(table(spark, folder, "events"))).select("key", F.unix_millis("ts").alias("ms"))
+
+
+def hourly_notices(events):
+    at = F.unix_millis(F.col("ts").cast("timestamp"))
+    border = (F.floor(at / CHUNK_MS) + 1) * CHUNK_MS + at % 400
+    times = F.array(*[at + n for n in (0, 400, 1000, 1700)], *[border + n for n in (-800, -400, 0, 400)])
+    return events.select(F.col("event_type").alias("key"), F.explode(times).alias("ms")).select(
+        "key", F.timestamp_millis("ms").alias("ts"))

@@ -2,7 +2,10 @@ import datetime as dt
 import random
 
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
+from offerloom.plans import catalog_rules
+from offerloom.plans.catalog import CATALOG
 from offerloom.streaming.throttle import CHUNK_MS, notices, throttled
 
 EPOCH = dt.datetime(1970, 1, 1)
@@ -43,3 +46,16 @@ def test_chunks_chain_exactly(spark):
         by_key.setdefault(r["key"], []).append(ms)
     for key in {k for k, _ in events}:
         assert sorted(by_key[key]) == brute({t for k, t in events if k == key}), key
+
+
+def test_registered_row_hands_over_between_hours(spark, small_tables):
+    """Some notices are held back only because of one in the hour before."""
+    events = catalog_rules.hourly_notices(spark.read.parquet(f"{small_tables}/events.parquet"))
+    given = {}
+    for r in events.select("key", F.unix_millis("ts").alias("ms")).distinct().collect():
+        given.setdefault(r.key, {}).setdefault(r.ms // CHUNK_MS, []).append(r.ms)
+    assert all(len(chunks) > 24 for chunks in given.values())
+    apart = {(key, t) for key, chunks in given.items() for times in chunks.values() for t in notices(sorted(times), 0)}
+    sent = {tuple(r) for r in CATALOG["throttle_hours"].run(spark, small_tables).collect()}
+    assert apart - sent
+    assert sent == {(key, t) for key, chunks in given.items() for t in brute({t for times in chunks.values() for t in times})}
