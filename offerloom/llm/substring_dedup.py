@@ -1,4 +1,7 @@
-"""Substring dedup by relative Lempel-Ziv factors.
+"""Substring dedup by exact matching of 20-word windows.
+
+This stands in for a greedy relative Lempel-Ziv parse: the factors below are
+merged copied windows.
 
 The reference is the whole corpus, cut into blocks by content: each window of
 20 words names as its seed the 8-word block with the least hash in it, so equal
@@ -12,7 +15,7 @@ by seed:
 * where a seed stands in different contexts, a factor ends somewhere near; its
   windows are checked one by one against the earliest equal window.
 
-Adjoining copied windows of a document join to its greedy factors, and the
+Adjoining copied windows of a document join to its factors, and the
 words under them are removed. A window is copied only from an earlier place of
 the input (smaller doc_id, or same document and earlier start), whatever
 happens to that place itself.
