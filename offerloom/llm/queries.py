@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerloom.llm import credentials, language, main_text, toxicity
+from offerloom.llm import byte_bpe, credentials, language, main_text, toxicity
 from offerloom.llm.chat import format_chats, loss_text, read_back
 from offerloom.llm.decontaminate import leaks
 from offerloom.llm.neighbours import nearest
@@ -122,6 +122,19 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    path, pattern = tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    coded = byte_bpe.decode(byte_bpe.encode(_table(spark, folder, "documents"), path, pattern), path, pattern)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("data", 256).alias("decoded_sha256"),
+    )
+
+
 OP9_SQL = r"""
 WITH RECURSIVE docs AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
@@ -178,6 +191,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_byte_bpe": op11_byte_bpe,
 }
 
 SQL: dict[str, str] = {"op6_chat_format": OP6_SQL, "op9_ngram_jaccard": OP9_SQL, "op10_substring_dedup": OP10_SQL}
