@@ -39,7 +39,11 @@ def ranks_of(path: str) -> dict[bytes, int]:
 
 
 class Bpe:
-    """Exact merging by rank of `ranks`, whose single bytes are all tokens; ids are the ranks."""
+    """Exact merging by rank of `ranks`, whose single bytes are all tokens; ids are the ranks.
+
+    Every token must be what merging its own bytes ends with, by tokens of lower rank, as in any
+    trained vocabulary. Others raise a ValueError: there, neighbours alone do not decide.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         import ahocorasick
@@ -54,8 +58,9 @@ class Bpe:
         for token, rank in ranks.items():
             self.prefix[rank] = next((ranks[token[:n]] for n in range(len(token) - 1, 0, -1) if token[:n] in ranks), None)
         for token, rank in sorted(ranks.items(), key=lambda item: item[1]):
-            if self._learn(token, rank):
-                self.matcher.add_word(token.decode("latin-1"), rank)
+            if not self._learn(token, rank):
+                raise ValueError(f"token {rank} is not merged from tokens of lower rank")
+            self.matcher.add_word(token.decode("latin-1"), rank)
         self.matcher.make_automaton()
 
     def _learn(self, token: bytes, rank: int) -> bool:
