@@ -59,7 +59,7 @@ def test_small_vocabularies_with_ties(seed):
 
 def test_vocabulary_whose_tokens_do_not_arise():
     with pytest.raises(ValueError, match="token 4"):
-        byte_bpe.Bpe({b"a": 0, b"b": 1, b"ab": 2, b"bab": 3, b"baba": 4})
+        byte_bpe.Bpe({b"a": 0, b"b": 1, b"ab": 2, b"ba": 3, b"baba": 4})
 
 
 def test_texts_and_odd_rows(spark):
