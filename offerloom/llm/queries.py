@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerloom.llm import byte_bpe, credentials, language, main_text, toxicity
+from offerloom.llm import byte_bpe, credentials, language, main_text, token_alignment, toxicity
 from offerloom.llm.chat import format_chats, loss_text, read_back
 from offerloom.llm.decontaminate import leaks
 from offerloom.llm.neighbours import nearest
@@ -135,6 +135,16 @@ def op11_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    blocks = token_alignment.align(_table(spark, folder, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+    def digest(doc):
+        return doc.withField("groups", F.when(doc["n_groups"] > 0, F.sha2(doc["groups"].cast("binary"), 256)).otherwise(""))
+
+    found = token_alignment.linked(blocks.withColumn("docs", F.transform("docs", digest)))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
 OP9_SQL = r"""
 WITH RECURSIVE docs AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
@@ -192,6 +202,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_byte_bpe": op11_byte_bpe,
+    "op12_token_alignment": op12_token_alignment,
 }
 
 SQL: dict[str, str] = {"op6_chat_format": OP6_SQL, "op9_ngram_jaccard": OP9_SQL, "op10_substring_dedup": OP10_SQL}
