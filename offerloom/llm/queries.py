@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from offerloom.llm import byte_bpe, credentials, language, main_text, token_alignment, toxicity
 from offerloom.llm.chat import format_chats, loss_text, read_back
 from offerloom.llm.decontaminate import leaks
+from offerloom.llm.hard_negatives import mine
 from offerloom.llm.neighbours import nearest
 from offerloom.llm.ngram_jaccard import ngram_jaccard
 from offerloom.llm.packing import pack
@@ -145,6 +146,17 @@ def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
 
 
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _table(spark, folder, "embeddings")
+    finite = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))  # NaN compares above infinity
+    rows = rows.filter(F.col("label").isNotNull() & finite).select(
+        "vec_id",
+        F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END").alias("label"),
+        F.transform("embedding", lambda x: F.floor(x.cast("double") * 256)).alias("vector"),
+    )
+    return mine(rows, rows.filter("vec_id % 100 = 0"), positives=5, negatives=5, low=80, high=100)
+
+
 OP9_SQL = r"""
 WITH RECURSIVE docs AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
@@ -190,6 +202,28 @@ FROM docs LEFT JOIN kept USING (doc_id)
 """
 
 
+OP13_SQL = r"""
+WITH vectors AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS positive,
+    CAST(coalesce(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])), 0) AS BIGINT) AS score
+  FROM vectors a JOIN vectors b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+), positives AS (
+  SELECT * FROM pairs WHERE positive
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.vec_id AS positive_id,
+  CAST(row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank,
+  n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN pairs n ON n.anchor_id = p.anchor_id AND NOT n.positive AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+QUALIFY rank <= 5
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_secret_scan": op2_secret_scan,
@@ -203,6 +237,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
     "op11_byte_bpe": op11_byte_bpe,
     "op12_token_alignment": op12_token_alignment,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
-SQL: dict[str, str] = {"op6_chat_format": OP6_SQL, "op9_ngram_jaccard": OP9_SQL, "op10_substring_dedup": OP10_SQL}
+SQL: dict[str, str] = {"op6_chat_format": OP6_SQL, "op9_ngram_jaccard": OP9_SQL, "op10_substring_dedup": OP10_SQL, "op13_hard_negatives": OP13_SQL}
