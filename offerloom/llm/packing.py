@@ -18,6 +18,8 @@ from __future__ import annotations
 import bisect
 import os
 import zlib
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +28,40 @@ from pyspark.sql import functions as F
 
 from offerloom.llm.shared import stash
 
-CACHE_WORDS = 600_000  # distinct words a worker keeps the ids of
+CACHE_WORDS = 400_000  # words met lately that a worker keeps the ids of; it keeps as many from before
 GROUP_BYTES = 2_000_000  # text tokenized at once; a longer text is a group of its own
 RANKED = 50_000  # about as many pieces of one length are ranked in one group
 
 
+_coders: dict[str, Coder] = {}  # a worker keeps them, with the words it has met, for all its tasks
+
+
+class Coder:
+    """Ids of words, little-endian 32 bits each, remembered."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def ids(self, texts: list[list[bytes]]) -> Iterator[bytes]:
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        missing = set().union(*texts).difference(known)
+        new = missing.difference(older)
+        known.update((w, older[w]) for w in missing.difference(new))
+        new = list(new)
+        for i in range(0, len(new), 20_000):
+            some = new[i : i + 20_000]
+            coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
+            known.update((w, array("I", e.ids).tobytes()) for w, e in zip(some, coded, strict=True))
+        return (b"".join(map(known.__getitem__, words)) for words in texts)
+
+
 def _tokenized(path: str, capacity: int, end_id: int):
     """(doc_id, text) -> a row for each piece.
 
@@ -40,25 +71,14 @@ def _tokenized(path: str, capacity: int, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        cache: dict[bytes, bytes] = {}
+        if path not in _coders:
+            _coders[path] = Coder(path)
+        coder = _coders[path]
 
         def rows(ids, texts):
-            nonlocal cache
-            split = [t.split() for t in texts]
-            if len(cache) > CACHE_WORDS:
-                cache = {}
-            new = list(set().union(*split).difference(cache))
-            for i in range(0, len(new), 20_000):
-                some = new[i : i + 20_000]
-                coded = tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
-                cache.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, coded, strict=True))
             out: list[tuple] = []
-            for doc_id, tokens in zip(ids, split, strict=True):
-                data = memoryview(b"".join(map(cache.__getitem__, tokens)) + end)
+            for doc_id, tokens in zip(ids, coder.ids([t.split() for t in texts]), strict=True):
+                data = memoryview(tokens + end)
                 for piece, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
                     out.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
