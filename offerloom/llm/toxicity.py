@@ -37,7 +37,7 @@ NOISY = 80  # telling words that also train with letters inserted
 SPAN = 7  # letters that a triple may reach over
 DECAY = 0.7
 LONGEST = 24  # letters; longer words are read in halfway overlapping windows
-CACHE = 300_000  # distinct words a worker keeps the scores of
+CACHE = 150_000  # distinct words a worker keeps the scores of
 
 _PAIRS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 

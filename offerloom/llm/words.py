@@ -14,7 +14,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1_000_000  # texts handled at once; a longer text is a chunk of its own
+CHUNK_BYTES = 250_000  # texts handled at once; a longer text is a chunk of its own
+SLICE_ROWS = 512  # rows of a batch whose bytes are copied at once
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -85,8 +86,13 @@ def _column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def words(column: pa.Array, lower: bool = False, chunk: int = CHUNK_BYTES) -> Iterator[Words]:
     """Words of a text column, a few rows at a time; null counts as empty, lower folds A-Z."""
-    if len(column) == 0:
-        return
+    for low in range(0, len(column), SLICE_ROWS):
+        for part in _words(column.slice(low, SLICE_ROWS), lower, chunk):
+            part.first += low
+            yield part
+
+
+def _words(column: pa.Array, lower: bool, chunk: int) -> Iterator[Words]:
     offsets, data = _column(column)
     first = 0
     while first < len(column):
