@@ -17,27 +17,34 @@ from __future__ import annotations
 
 import bisect
 import os
+import string
 import zlib
 from array import array
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from offerloom.llm.shared import stash
 
 CACHE_WORDS = 400_000  # words met lately that a worker keeps the ids of; it keeps as many from before
-GROUP_BYTES = 2_000_000  # text tokenized at once; a longer text is a group of its own
+GROUP_BYTES = 4_000_000  # text tokenized at once; a longer text is a group of its own
 RANKED = 50_000  # about as many pieces of one length are ranked in one group
 
 
+PUNCTUATION = string.punctuation.encode()
 _coders: dict[str, Coder] = {}  # a worker keeps them, with the words it has met, for all its tasks
 
 
 class Coder:
-    """Ids of words, little-endian 32 bits each, remembered."""
+    """Ids of words, little-endian 32 bits each, remembered.
+
+    For a tokenizer that has small letters only, parts letters from punctuation and marks the last
+    token of a word: A-Z are lowered beforehand, punctuation after letters is coded apart, and words
+    of letters are coded many in a row, each up to a token that ends a word.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -46,55 +53,103 @@ class Coder:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        normal, parted, mark = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer, getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.lowers = normal is not None and normal.normalize_str(string.ascii_uppercase) == string.ascii_lowercase
+        self.parts = bool(self.lowers and mark and parted is not None and [p for p, _ in parted.pre_tokenize_str("ab" + string.punctuation)] == ["ab", string.punctuation])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if mark and token.endswith(mark)]] = True
+
+    def coded(self, words: list[bytes]) -> list[bytes]:
+        texts = [w.decode("utf-8", "replace") for w in words]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def ids(self, texts: list[list[bytes]]) -> Iterator[bytes]:
+    def in_a_row(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of letters."""
+        coded = self.tokenizer.encode_fast if hasattr(self.tokenizer, "encode_fast") else self.tokenizer.encode
+        ids = np.array(coded(b" ".join(words).decode(), add_special_tokens=False).ids, "<u4")
+        stops = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+        if len(stops) != len(words):  # a letter that becomes more than a letter
+            return self.coded(words)
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *stops.tolist()], stops.tolist())]
+
+    def learn(self, words: set[bytes], code, at_once: int) -> None:
+        """Ids of the words that are not known yet."""
+        missing = words.difference(self.known)
+        new = list(missing.difference(self.older))
+        self.known.update((w, self.older[w]) for w in missing.difference(new))
+        for i in range(0, len(new), at_once):
+            self.known.update(zip(new[i : i + at_once], code(new[i : i + at_once]), strict=True))
+
+    def ids(self, words: list[bytes]) -> list[bytes]:
+        """Of distinct words."""
         if len(self.known) > CACHE_WORDS:
             self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        missing = set().union(*texts).difference(known)
-        new = missing.difference(older)
-        known.update((w, older[w]) for w in missing.difference(new))
-        new = list(new)
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
-            known.update((w, array("I", e.ids).tobytes()) for w, e in zip(some, coded, strict=True))
-        return (b"".join(map(known.__getitem__, words)) for words in texts)
+        new = set(words).difference(self.known)
+        again = new.intersection(self.older)
+        self.known.update((w, self.older[w]) for w in again)
+        new -= again
+        pairs = []
+        if self.parts:
+            for word in new:
+                core = word.rstrip(PUNCTUATION)
+                letters = core.decode("utf-8", "replace")
+                # Latin letters that stay letters: a mark would go with the punctuation
+                if letters.isalpha() and max(letters) < "\u0250" and letters.lower().isalpha():
+                    pairs.append((word, core, word[len(core) :]))
+            self.learn({core for _, core, _ in pairs}, self.in_a_row, 2_000)
+            self.learn({rest for _, _, rest in pairs if rest}, self.coded, 20_000)
+            self.known.update((word, self.known[core] + self.known[rest]) for word, core, rest in pairs if rest)
+        self.learn(new, self.coded, 20_000)
+        return list(map(self.known.__getitem__, words))
 
+    def texts(self, texts: pa.Array, end_id: int) -> tuple[bytes, np.ndarray]:
+        """Ids of texts (binary, no nulls) with an end id after each, and the byte after each.
 
-def _tokenized(path: str, capacity: int, end_id: int):
-    """(doc_id, text) -> a row for each piece.
+        The tokenizer never joins what white space parts, so ids of a text are those of its words in a row.
+        """
+        texts = texts.cast(pa.string(), safe=False)
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts) if self.lowers else texts)
+        counts = pc.list_value_length(split).to_numpy()
+        words = split.flatten().dictionary_encode()
+        ids = [*self.ids(words.dictionary.cast(pa.binary()).to_pylist()), array("I", [end_id]).tobytes()]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        start = np.cumsum(size) - size
+        row = np.arange(len(counts))
+        last = np.cumsum(counts) + row  # place of each text's end among words and ends
+        place = np.full(len(words) + len(counts), len(ids) - 1)
+        place[np.arange(len(words)) + np.repeat(row, counts)] = words.indices.to_numpy()
+        taken = size[place]
+        stop = np.cumsum(taken)
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        return flat[np.repeat(start[place] - stop + taken, taken) + np.arange(stop[-1] if len(stop) else 0)].tobytes(), 4 * stop[last]
 
-    The tokenizer never joins what white space parts, so ids of a text are those of its words in a row.
-    """
+
+def _tokenized(path: str, capacity: int, end_id: int):
+    """(doc_id, text) -> a row for each piece."""
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
         if path not in _coders:
             _coders[path] = Coder(path)
-        coder = _coders[path]
-
-        def rows(ids, texts):
-            out: list[tuple] = []
-            for doc_id, tokens in zip(ids, coder.ids([t.split() for t in texts]), strict=True):
-                data = memoryview(tokens + end)
-                for piece, at in enumerate(range(0, len(data), 4 * capacity)):
-                    part = data[at : at + 4 * capacity]
-                    out.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
-
         for batch in batches:
-            ids, texts, size = [], [], 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids.append(doc_id)
-                texts.append(text.as_buffer().to_pybytes() if text.is_valid else b"")
-                size += len(texts[-1])
-                if size >= GROUP_BYTES:
-                    yield rows(ids, texts)
-                    ids, texts, size = [], [], 0
-            if ids:
-                yield rows(ids, texts)
+            texts = batch.column(1).fill_null(b"")
+            sizes = np.cumsum(pc.binary_length(texts).to_numpy())
+            first = 0
+            while first < len(texts):
+                before = sizes[first - 1] if first else 0
+                stop = max(first + 1, int(np.searchsorted(sizes, before + GROUP_BYTES, "right")))
+                data, ends = _coders[path].texts(texts.slice(first, stop - first), end_id)
+                view, low = memoryview(data), 0
+                out: list[tuple] = []
+                for doc_id, high in zip(batch.column(0)[first:stop].to_pylist(), ends.tolist(), strict=True):
+                    for piece, at in enumerate(range(low, high, 4 * capacity)):
+                        part = view[at : min(high, at + 4 * capacity)]
+                        out.append((doc_id, piece, (at - low) // 4, len(part) // 4, zlib.crc32(part)))
+                    low = high
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+                first = stop
 
     return run, "doc_id long, piece int, start long, length long, ids_crc32 long"
 

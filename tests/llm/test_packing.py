@@ -3,9 +3,11 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+from offerloom.llm import packing
 from offerloom.llm.packing import pack, plan
 from offerloom.llm.queries import tokenizer_file
 
@@ -81,3 +83,18 @@ def test_pieces_equal_whole_text_encoding(spark):
 
 def test_empty_table(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
+
+
+def test_words_with_punctuation_and_odd_letters():
+    rng = random.Random(4)
+    coder, ours = Tokenizer.from_file(PATH), packing.Coder(PATH)
+    pieces = ["Word", "don't", "e.g", "'s", ".", ",,", "!?", "(", "É", "İ", "ß", "ΣΑΣ", "ǅ", "ⅷ", "日本", "한", "ʰ", "12", "_", "'", "-", "́", "\x1c", "\x85", "<|endoftext|>", "K"]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(1, 4))) + rng.choice([" ", "\n", ""]) for _ in range(4000)]
+    texts = ["".join(texts[i : i + rng.randint(0, 9)]) for i in range(0, 4000, 9)]
+    for _ in range(2):  # learned, then remembered
+        data, ends = ours.texts(pa.array([t.encode() for t in texts], pa.binary()), 1)
+        ids = np.frombuffer(data, "<u4").tolist()
+        low = 0
+        for text, high in zip(texts, (ends // 4).tolist()):
+            assert ids[low:high] == coder.encode(text, add_special_tokens=False).ids + [1], text
+            low = high
