@@ -36,35 +36,25 @@ def html_state(html: Column) -> Column:
     )
 
 
-def _any(doc: Column, *tests: N.Test) -> Column:
-    def passes_any(n: Column) -> Column:
-        hit = F.lit(False)
-        for test in tests:
-            hit |= test(n)
-        return hit
-
-    return F.exists(doc["nodes"], passes_any)
-
-
 def content_markers(doc: Column) -> dict[str, Column]:
     """Does the page have the elements that a loaded offer of the source shows?"""
     unified_title = N.select_inside(
         doc, N.css_class("job-details-jobs-unified-top-card__job-title"), N.tag("h1"))
     return {
-        "linkedin": (F.size(unified_title) > 0) | _any(
+        "linkedin": (F.size(unified_title) > 0) | N.any_of(
             doc,
             N.css_class("jobs-unified-top-card__job-title"),
             N.css_class("jobs-description__content"),
             N.css_class("show-more-less-html__markup"),
             N.attr("data-testid", "expandable-text-box"),
         ),
-        "hellowork": _any(doc, N.tag("h1", "h2"), N.both(
+        "hellowork": N.any_of(doc, N.tag("h1", "h2"), N.both(
             N.tag("a"), N.attr_has("href", "/fr-fr/entreprises/"))),
-        "apec": _any(doc, N.tag("h1", "apec-offre-metadata"), N.css_class("details-post")),
-        "cadremploi": _any(doc, N.tag("h1"), N.attr_has("class", "job-title"),
+        "apec": N.any_of(doc, N.tag("h1", "apec-offre-metadata"), N.css_class("details-post")),
+        "cadremploi": N.any_of(doc, N.tag("h1"), N.attr_has("class", "job-title"),
                            N.attr_has("class", "offer-title")),
-        "france_travail": _any(doc, N.attr("itemprop", "description")),
-        "wttj": _any(doc, N.tag("h1", "h2", "section"), N.has_attr("data-testid"),
+        "france_travail": N.any_of(doc, N.attr("itemprop", "description")),
+        "wttj": N.any_of(doc, N.tag("h1", "h2", "section"), N.has_attr("data-testid"),
                      N.attr_has("class", "job"), N.attr_has("class", "description")),
     }
 
@@ -173,15 +163,13 @@ def result_links(source: Column, doc: Column, url: Column) -> Column:
             F.concat(site, F.lit("/jobs/view/"), card_id, F.lit("/")),
         )
 
-    results = F.filter(
+    results = N.inside_any(
         N.select_inside(
             doc, N.both(N.tag("li"), N.css_class("result")),
             N.both(N.tag("a"), N.css_class("media"),
                    N.attr_matches("href", LINK_PATTERNS["france_travail"])),
         ),
-        lambda n: F.exists(
-            doc["nodes"],
-            lambda o: (o["tag"] == "ul") & N.css_class("result-list")(o) & N.is_inside(n, o)),
+        N.select(doc, N.both(N.tag("ul"), N.css_class("result-list"))),
     )
     raw = by_source(source, {
         "linkedin": F.array_compact(F.transform(cards, card_link)),
@@ -215,18 +203,18 @@ def read_result_pages(pages: DataFrame, html: str = "html") -> DataFrame:
         .when(F.concat_ws(" ", url, title).rlike(LOGIN_PAGE), "challenge_or_login")
         .when(none, error),
         "cadremploi": F.when(
-            title.rlike(CADREMPLOI_WALL_TITLE) | doc["markup"].rlike(CADREMPLOI_WALL_BODY),
+            title.rlike(CADREMPLOI_WALL_TITLE) | F.array_join(doc["pieces"], "").rlike(CADREMPLOI_WALL_BODY),
             "challenge_or_login"),
         "hellowork": bot_wall.when(none & (page <= 1), error).when(none, stop),
         "apec": bot_wall.when(none & doc["visible"].rlike(NO_RESULTS_PAGE), "no_results")
         .when(none & (page <= 1), error).when(none, stop),
         "france_travail": F.when(
-            ~_any(doc, N.both(N.tag("ul"), N.css_class("result-list"))), error),
+            ~N.any_of(doc, N.both(N.tag("ul"), N.css_class("result-list"))), error),
         "wttj": F.when(none, error),
     })
     labelled = N.attr_matches("aria-label", "Next|Suivant")
     pager = N.css_class("jobs-search-pagination__button--next")
-    next_buttons = N.select(doc, N.both(N.tag("button"), lambda n: labelled(n) | pager(n)))
+    next_buttons = N.select(doc, N.both(N.tag("button"), N.either(labelled, pager)))
     count = F.size(urls)
     has_next = by_source(source, {
         "linkedin": F.coalesce(
@@ -236,7 +224,7 @@ def read_result_pages(pages: DataFrame, html: str = "html") -> DataFrame:
         "apec": (count >= APEC_RESULTS_PER_PAGE) & (page < PAGE_CAPS["apec"]),
         "cadremploi": ~none & (page < PAGE_CAPS["cadremploi"]),
         "france_travail": F.lit(False),
-        "wttj": _any(doc, N.both(N.tag("button"), N.attr("data-testid", "pagination-next")))
+        "wttj": N.any_of(doc, N.both(N.tag("button"), N.attr("data-testid", "pagination-next")))
         & (page < PAGE_CAPS["wttj"]),
     })
     read = linked.withColumn("page_status", F.coalesce(status, F.lit("ok")))

@@ -7,11 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from offerloom import schemas
 from offerloom.operators.discovery import digest, merge_digests, sightings
-from offerloom.operators.enrich import normalised_response
-from offerloom.operators.extract import extract_docs
 from offerloom.operators.metrics import job_class, status_aggregates
-from offerloom.operators.pages import accepted, classify
-from offerloom.operators.score import literal_profile, score_with
 
 
 # --- discovery ---------------------------------------------------------------
@@ -48,54 +44,6 @@ def current_digest(spark: SparkSession, digests_path: str) -> DataFrame:
     return merge_digests(spark.read.parquet(digests_path))
 
 
-# --- pages -------------------------------------------------------------------
-
-def process_pages(
-    pages: DataFrame,
-    responses: DataFrame,
-    profile: dict,
-    now: Column,
-    sources: list[str] | None = None,
-) -> DataFrame:
-    """fetched -> analyzed -> enriched -> scored for a stream of raw pages.
-
-    Rows need url_hash, source, url and html. Everything is stateless but the
-    stream-static join with the responses, so the plan scales with the batch.
-    """
-    good = accepted(classify(pages, keep_doc=True))
-    analyzed = extract_docs(good, now, sources).drop("page_status")
-    joined = analyzed.join(responses.select("url_hash", "payload"), "url_hash", "left")
-    response = normalised_response(F.col("source"), F.col("location_mode"), F.col("payload"))
-    from_response = F.col("source") == "linkedin"
-    enriched = joined.withColumn("_r", response).withColumns({
-        "location_mode": F.when(from_response, F.col("_r.location_mode")).otherwise(
-            F.col("location_mode")),
-        "city": F.when(from_response, F.col("_r.city")).otherwise(F.col("city")),
-        **{
-            c: F.col(f"_r.{c}")
-            for c in (
-                "hybrid_remote_days_min_per_week", "primary_technologies",
-                "secondary_technologies", "offer_language", "normalized_seniority",
-                "english_level_required",
-            )
-        },
-    }).drop("_r", "payload")
-    scored = score_with(enriched, literal_profile(profile))
-    return scored.withColumnsRenamed({"new_score": "score", "new_breakdown": "score_breakdown"})
-
-
-def start_pages(
-    processed: DataFrame, out: str, checkpoint: str, available_now: bool = True
-) -> StreamingQuery:
-    writer = (
-        processed.writeStream.format("parquet").outputMode("append")
-        .option("checkpointLocation", checkpoint).option("path", out)
-    )
-    if available_now:
-        writer = writer.trigger(availableNow=True)
-    return writer.start()
-
-
 # --- job status --------------------------------------------------------------
 
 def status_stream(job_runs: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from offerloom.operators.relevance import is_relevant, page_words, relevance_fla
 from offerloom.plans.flow import analyze_offers, run_stages
 from offerloom.sources import tables
 from offerloom.streaming import flow
+from offerloom.streaming.chain import Chain, chain_events, start_chain
 from offerloom.streaming.throttle import throttled, throttled_stream
 
 T0 = dt.datetime(2026, 3, 1)
@@ -206,19 +207,57 @@ def test_streamed_discovery_equals_batch(spark, tmp_path):
     assert facts(streamed) == facts(batch)
 
 
-def test_streamed_pages_equal_batch(spark, inputs, tmp_path):
-    _, pages, responses = inputs
-    pages = pages.where("source = 'apec'")
-    source = str(tmp_path / "pages")
-    pages.repartition(3).write.parquet(source)
-    stream = spark.readStream.schema(schemas.RAW_PAGES).option("maxFilesPerTrigger", 1).parquet(source)
-    args = (responses, PROFILE, F.lit(NOW))
-    query = flow.start_pages(
-        flow.process_pages(stream, *args, sources=["apec"]), str(tmp_path / "out"), str(tmp_path / "cp"))
-    query.awaitTermination()
-    batch = flow.process_pages(pages, *args, sources=["apec"])
-    streamed = spark.read.schema(batch.schema).parquet(str(tmp_path / "out"))
-    assert sorted(map(str, streamed.collect())) == sorted(map(str, batch.collect()))
+def streamed_chain(spark, folder, batches, profile=PROFILE):
+    """The chain over lists of (offers, pages, responses), one micro-batch each."""
+    for some in batches:
+        chain_events(*some).coalesce(1).write.mode("append").parquet(f"{folder}/events")
+    schema = spark.read.parquet(f"{folder}/events").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/events")
+    start_chain(stream, f"{folder}/chain", f"{folder}/cp", profile, lambda: F.lit(NOW)).awaitTermination()
+    return Chain(spark, f"{folder}/chain")
+
+
+def rows_of(offers):
+    return sorted(str(r) for r in offers.select(*schemas.OFFERS.fieldNames()).collect())
+
+
+ORDERS = [
+    [("responses",), ("pages",), ("offers",)],
+    [("offers", "responses"), ("responses",), ("pages",), ("offers", "pages", "responses")],
+]
+
+
+@pytest.mark.parametrize("order", range(len(ORDERS)))
+def test_streamed_chain_equals_batch_in_any_order(spark, inputs, tmp_path, order):
+    parts = dict(zip(("offers", "pages", "responses"), inputs))
+    batches = [[parts[n] if n in names else parts[n].limit(0) for n in parts] for names in ORDERS[order]]
+    chain = streamed_chain(spark, str(tmp_path), batches)
+    want = run_stages(*inputs, PROFILE, F.lit(NOW)).drop("topcard_text")
+    assert rows_of(chain.current()) == rows_of(want)
+    last = max(n for _, n in chain.open.folders())
+    waiting = {r["id"] for r in chain.open.last(last + 1).collect()}
+    assert waiting == {5, 8}  # without a page, without a response
+    assert chain.pages.last(last + 1).count() == 0 and chain.responses.last(last + 1).count() == 0
+
+
+def test_streamed_chain_repeats_and_merges(spark, inputs, tmp_path, monkeypatch):
+    from offerloom.streaming import chain as module
+
+    monkeypatch.setattr(module, "MERGE_EVERY", 2)
+    offers, pages, responses = inputs
+    none = [t.limit(0) for t in inputs]
+    steps = [
+        [offers.where("id < 5"), none[1], responses], [offers.where("id > 3"), pages.where("url_hash = 'h1'"), none[2]],
+        [none[0], pages, none[2]], [offers, pages, none[2]], [none[0], none[1], responses]]
+    chain, args = Chain(spark, str(tmp_path)), (PROFILE, F.lit(NOW))
+    for number, some in enumerate(steps):
+        chain.advance(chain_events(*some), number, *args)
+        before = rows_of(chain.current())
+        chain.advance(chain_events(*some), number, *args)  # as after a failure before the commit
+        assert rows_of(chain.current()) == before
+    assert before == rows_of(run_stages(*inputs, *args).drop("topcard_text"))
+    assert sorted(chain.log.folders()) == [("batch", 4), ("upto", 3)]
+    assert len(chain.open.folders()) <= 2
 
 
 def test_streamed_throttle_equals_batch(spark, tmp_path):

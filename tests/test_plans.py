@@ -1,5 +1,7 @@
 """Plans of the registered queries: what may and may not occur in them."""
 
+import re
+
 import pytest
 
 from offerloom.plans.catalog import CATALOG
@@ -60,22 +62,26 @@ def test_extraction_parses_once_and_does_not_shuffle(spark, small_tables):
     pages = spark.read.parquet(f"{small_tables}/pages.parquet").select(
         F.lit("apec").alias("source"), "html")
     plan = plan_of(extract(pages, F.current_timestamp(), sources=["apec"]))
-    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
+    assert plan.count("ArrowEvalPython") == 2 and "MapInArrow" not in plan and "Exchange" not in plan
 
 
-def test_chain_shuffles_on_the_url_key_only(spark):
+def test_chain_shuffles_on_the_url_key_only_and_before_the_parser(spark):
     from pyspark.sql import functions as F
 
     from offerloom import schemas
-    from offerloom.plans.flow import analyze_offers
+    from offerloom.plans.catalog_search import PROFILE
+    from offerloom.plans.flow import run_stages
 
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         offers = spark.createDataFrame([], schemas.OFFERS)
         pages = spark.createDataFrame([], schemas.RAW_PAGES)
-        plan = plan_of(analyze_offers(offers, pages, F.current_timestamp()))
+        responses = spark.createDataFrame([], schemas.MODEL_RESPONSES)
+        plan = plan_of(run_stages(offers, pages, responses, PROFILE, F.current_timestamp())).splitlines()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    exchanges = [line for line in plan.splitlines() if "Exchange" in line]
-    assert len(exchanges) == 2 and all("hashpartitioning(url_hash" in e for e in exchanges)
-    assert plan.count("MapInArrow") == 1
+    exchanges = [i for i, line in enumerate(plan) if "Exchange" in line]
+    assert len(exchanges) == 3 and all("hashpartitioning(url_hash" in plan[i] for i in exchanges)
+    (parser,) = [i for i, line in enumerate(plan) if "ArrowEvalPython [_parsed(" in line]
+    assert re.search(r"ArrowEvalPython \[_parsed\(CASE WHEN _run#\d+ THEN html#\d+ END\)#", plan[parser])
+    assert parser < exchanges[0] and not any("InArrow" in line for line in plan)

@@ -140,7 +140,7 @@ def test_page_tokens(html, markup, plain):
     page = PageTokens(html)
     assert page.markup() == markup and page.text() == plain
     for pos, tag in enumerate(page.tags):
-        outer = page.markup()[page.m0[pos]:page.m1[pos]]
+        outer = "".join(page.out[page.m0[pos]:page.m1[pos]])
         assert outer.startswith(f"<{tag}") and page.t0[pos] <= page.t1[pos]
         assert page.parent[pos] < pos <= page.last[pos]
 
