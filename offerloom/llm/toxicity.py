@@ -303,12 +303,12 @@ def train(texts: list[str], toxic: list[int]) -> Model:
 
 def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, toxic, whole text) of up to SAMPLED documents of each label, the ones with the least hashes of their ids."""
-    marked = labels.filter("doc_id is not null and toxic in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    marked = labels.filter("doc_id is not null and toxic in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).distinct()
     counts = dict(marked.groupBy("toxic").count().collect())
     share = F.create_map(*[F.lit(x) for t in (0, 1) for x in (t, min(1.0, 4.0 * SAMPLED / counts.get(t, 1)))])
     some = marked.withColumn("key", F.xxhash64("doc_id", F.lit(11))).filter(F.pmod("key", F.lit(1_000_000)) < share[F.col("toxic")] * 1_000_000)
     order = Window.partitionBy("toxic").orderBy("key", "doc_id")
-    some = some.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= SAMPLED).select("doc_id", "toxic").distinct()
+    some = some.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= SAMPLED).select("doc_id", "toxic")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.join(F.broadcast(some), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 

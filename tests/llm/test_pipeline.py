@@ -77,3 +77,12 @@ def test_run_is_the_chain_of_stages_and_keeps_odd_rows(spark, tmp_path):
     empty = spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).collect() == []
+
+
+def test_near_duplicates_with_clashing_names(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(i, t, "a", 1, 2, 3, 4) for i, t in [(1, text), (2, text), (2, text), (3, "another text that is short"), (None, "no id")]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept_id string, kept_version int, version int, rows int, component_id int")
+    kept = dict(corpus_pipeline.STAGES)["ngram_jaccard"](spark, docs, FOLDER)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.kept_id, r.version, r.rows) for r in kept.collect()) == [(0, "a", 2, 3), (1, "a", 2, 3), (3, "a", 2, 3)]

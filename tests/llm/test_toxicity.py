@@ -109,3 +109,12 @@ def test_words_late_in_a_long_sampled_text_are_learned(spark):
     labels = spark.createDataFrame([(i, i % 2) for i, _ in texts], "doc_id long, toxic int")
     model = fitted(docs, labels)
     assert model.probability(model.words(["villain"])[0]) >= 0.5 > model.probability(model.words(["friend"])[0])
+
+
+def test_repeated_labels_do_not_fill_the_sample(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id long, text string")
+    rows = [(i, i % 2) for i in range(50)]
+    key = min(range(0, 50, 2))
+    labels = spark.createDataFrame(rows + [(key, 0)] * 9000, "doc_id long, toxic int")
+    got = toxicity.sample(docs, labels).collect()
+    assert sorted((r.doc_id, r.toxic) for r in got) == sorted(rows)
