@@ -268,22 +268,49 @@ def merge_digests(digests: DataFrame) -> DataFrame:
     ).select("url_hash", "latest.url", "latest.source", "keywords", "first_at", "last_at")
 
 
+def claims(offers: DataFrame, incoming: DataFrame) -> DataFrame:
+    """A digest by the offer that each row belongs to: the one with its key, else the one with its url
+    under another key (the least such key), else a new one.
+
+    Both ways are equi-joins on narrow columns; only rows whose key is not there look for their url. An
+    offer claimed both ways gets both rows as one: url and source come from the row with its key alone.
+    """
+    columns = ["url_hash", "source", "url", "keywords", "first_at", "last_at"]
+    rows = incoming.select(*columns)
+    there = offers.select("url_hash").distinct()
+    owners = offers.where(F.col("url").isNotNull()).groupBy("url").agg(F.min("url_hash").alias("_owner"))
+    by_key = rows.join(there, "url_hash", "left_semi").select(*columns, F.lit(False).alias("_by_url"))
+    other = rows.join(there, "url_hash", "left_anti").join(owners, "url", "left")
+    by_url = other.select(
+        F.coalesce("_owner", "url_hash").alias("url_hash"), *columns[1:], F.col("_owner").isNotNull().alias("_by_url"))
+    parts = F.sort_array(F.collect_list(F.struct("_by_url", "first_at", "last_at", "keywords")))
+    own = F.struct((~F.col("_by_url")).alias("own"), "last_at", "url", "source")
+    merged = by_key.unionByName(by_url).groupBy("url_hash").agg(
+        F.max(own).alias("_from"), parts.alias("_parts"),
+        F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"))
+    return merged.select(
+        "url_hash", F.when(F.col("_from.own"), F.col("_from.url")).alias("url"),
+        F.when(F.col("_from.own"), F.col("_from.source")).alias("source"),
+        F.flatten(F.transform("_parts", lambda p: p["keywords"])).alias("keywords"), "first_at", "last_at")
+
+
 def upsert(offers: DataFrame, incoming: DataFrame) -> DataFrame:
     """Merge a digest into the offers table: one full outer join on the url key.
 
     New urls become rows; known ones take source, url and new keywords, keep
-    their discovery step and move ``last_seen_at`` forward. Applying a digest
-    twice changes nothing.
+    their discovery step and move ``last_seen_at`` forward. A row whose key is
+    unknown, but whose url is stored under another key, goes to that offer, which
+    keeps its source. Applying a digest twice changes nothing, unless it moves a url away.
     """
-    new = incoming.select(
-        "url_hash",
+    new = claims(offers, incoming).select(
+        "url_hash", F.lit(True).alias("_seen"),
         *[F.col(c).alias(f"_{c}") for c in ("url", "source", "keywords", "first_at", "last_at")],
     )
     both = offers.join(new, "url_hash", "full_outer")
-    seen = F.col("_url").isNotNull()
+    seen = F.col("_seen").isNotNull()
     steps = F.col("steps_details")
     found = put_step(
-        steps, "discovery", iso(F.col("_first_at")), step_version(F.col("_source"), "discovery"))
+        steps, "discovery", iso(F.col("_first_at")), step_version(F.coalesce(F.col("_source"), F.col("source")), "discovery"))
     changed = {
         "id": F.coalesce(F.col("id"), F.xxhash64("url_hash")),
         "source": F.coalesce(F.col("_source"), F.col("source")),

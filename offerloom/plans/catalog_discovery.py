@@ -9,7 +9,8 @@ from offerloom.functions import text
 from offerloom.functions.arrays import iso
 from offerloom.operators import discovery
 from offerloom.operators.latest import latest_per_key
-from offerloom.plans.registered import CATALOG, register
+from offerloom.plans.registered import register
+from offerloom import schemas
 from offerloom.plans.views import (
     BASE_SQL,
     CRAWL_SQL,
@@ -51,7 +52,8 @@ _QUERY = "replace(url_encode({0}), '%20', '+')"
 
 
 @register("search_urls", "O-DSC-5", f"""WITH {_PLAN_SQL},
-pages AS (SELECT *, unnest([1, 2]) AS page, trim(keyword) AS kw FROM plan)
+pages AS (SELECT *, trim(keyword) AS kw,
+  unnest(range(1, 1 + CASE source WHEN 'france_travail' THEN 1 WHEN 'apec' THEN 25 ELSE 10 END)) AS page FROM plan)
 SELECT source, keyword, work_mode, n, CAST(page AS BIGINT) AS page, CASE source
   WHEN 'linkedin' THEN 'https://www.linkedin.com/jobs/search/?keywords=' || {_FORM.format('keyword')}
     || '&start=' || (page - 1) * 25 || '&f_WT=' || CASE work_mode WHEN 'remote' THEN '2' WHEN 'hybrid' THEN '3' ELSE '1' END
@@ -71,14 +73,6 @@ SELECT source, keyword, work_mode, n, CAST(page AS BIGINT) AS page, CASE source
     || '&offresPartenaires=true&rayon=10&tri=0' END AS search_url
 FROM pages""")
 def search_urls(spark, folder):
-    plan = discovery.launch_plan(keyword_rows(spark, folder), MODES)
-    return discovery.with_search_urls(plan, pages=2).withColumn(
-        "page", F.col("page").cast("long"))
-
-
-@register("search_urls_capped", "O-DSC-5", CATALOG["search_urls"].sql.replace(
-    "unnest([1, 2])", "unnest(range(1, 1 + CASE source WHEN 'france_travail' THEN 1 WHEN 'apec' THEN 25 ELSE 10 END))"))
-def search_urls_capped(spark, folder):
     """Every page that a source may be crawled for."""
     plan = discovery.launch_plan(keyword_rows(spark, folder), MODES)
     return discovery.with_search_urls(plan).withColumn("page", F.col("page").cast("long"))
@@ -216,6 +210,44 @@ def discovery_upsert(spark, folder):
         ts_text(F.col("last_seen_at")).alias("last_seen_at"))
 
 
+@register("upsert_by_url", "O-JN-2", """WITH known AS (
+  SELECT c_custkey AS id, 'https://jobs.example.com/c/' || c_custkey AS url,
+    sha256(CASE WHEN c_custkey % 3 = 0 THEN 'moved ' ELSE '' END || 'https://jobs.example.com/c/' || c_custkey) AS url_hash FROM customer),
+seen AS (
+  SELECT 'https://jobs.example.com/c/' || o_custkey AS url, min(o_orderdate) AS first_at, max(o_orderdate) AS last_at
+  FROM orders GROUP BY o_custkey
+  UNION ALL SELECT 'https://jobs.example.com/n/' || o_orderkey, o_orderdate, o_orderdate FROM orders WHERE o_orderkey % 50 = 0)
+SELECT coalesce(known.id, -1) AS id, coalesce(known.url_hash, sha256(seen.url)) AS url_hash, coalesce(known.url, seen.url) AS url,
+  CASE WHEN known.id IS NULL THEN 'new' WHEN seen.url IS NULL THEN 'old' ELSE 'old|new' END AS keywords,
+  CASE WHEN seen.url IS NULL OR known.id % 3 = 0 THEN 'apec' ELSE 'wttj' END AS source,
+  strftime(greatest(CASE WHEN known.id IS NOT NULL THEN TIMESTAMP '1995-01-01' END, last_at), '%Y-%m-%d') AS last_seen
+FROM known FULL JOIN seen ON known.url = seen.url""".replace("known.id % 3 = 0 THEN 'apec' ELSE 'wttj'", "coalesce(known.id % 3 = 0, false) THEN 'apec' ELSE 'wttj'"))
+def upsert_by_url(spark, folder):
+    """Every third stored url lies under a hash of its own: it is found by the url, keeps hash and source,
+    and takes keywords and times."""
+    key = F.col("c_custkey").cast("string")
+    url = F.concat(F.lit("https://jobs.example.com/c/"), key)
+    at = F.lit("1995-01-01").cast("timestamp")
+    stored = table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("id"), F.lit("apec").alias("source"), url.alias("url"),
+        text.url_key(F.concat(F.when(F.col("c_custkey") % 3 == 0, "moved ").otherwise(""), url)).alias("url_hash"),
+        F.array(F.lit("old")).alias("keywords"), F.create_map().cast(schemas.OFFERS["steps_details"].dataType).alias("steps_details"), at.alias("last_seen_at"))
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("timestamp").alias("at"))
+    again = orders.groupBy(F.concat(F.lit("https://jobs.example.com/c/"), F.col("o_custkey").cast("string")).alias("url")).agg(
+        F.min("at").alias("first_at"), F.max("at").alias("last_at"))
+    new = orders.where("o_orderkey % 50 = 0").select(
+        F.concat(F.lit("https://jobs.example.com/n/"), F.col("o_orderkey").cast("string")).alias("url"),
+        F.col("at").alias("first_at"), F.col("at").alias("last_at"))
+    incoming = again.union(new).select(
+        text.url_key(F.col("url")).alias("url_hash"), "url", F.lit("wttj").alias("source"),
+        F.array(F.lit("new")).alias("keywords"), "first_at", "last_at")
+    merged = discovery.upsert(stored, incoming)
+    return merged.select(
+        F.when(F.array_contains("keywords", "old"), F.col("id")).otherwise(-1).alias("id"), "url_hash", "url",
+        F.array_join("keywords", "|").alias("keywords"), "source",
+        F.date_format("last_seen_at", "yyyy-MM-dd").alias("last_seen"))
+
+
 @register("latest_rows", "O-WIN-2", """
 SELECT user_id, arg_max(event_id, {'a': ts, 'b': event_id}) AS event_id,
   arg_max(event_type, {'a': ts, 'b': event_id}) AS event_type FROM events GROUP BY user_id""")

@@ -689,24 +689,8 @@ def job_status(spark, folder):
         "updated_at", ts_text(F.col("updated_at")))
 
 
-# event times are squeezed so that notices often fall inside each other's second
-@register("throttle", "O-STR-2", f"""WITH RECURSIVE times AS (
-  SELECT DISTINCT event_type AS key, epoch_us(ts) // 1000 % 86400000 // 40 AS ms FROM events),
-sent(key, ms) AS (
-  SELECT key, min(ms) FROM times GROUP BY key
-  UNION ALL
-  SELECT sent.key, (SELECT min(t.ms) FROM times t WHERE t.key = sent.key AND t.ms >= sent.ms + 1000)
-  FROM sent WHERE EXISTS (SELECT 1 FROM times t WHERE t.key = sent.key AND t.ms >= sent.ms + 1000))
-SELECT key, ms FROM sent""")
-def throttle(spark, folder):
-    ms = F.floor(F.unix_millis(F.col("ts").cast("timestamp")) % 86_400_000 / 40)
-    events = table(spark, folder, "events").select(
-        F.col("event_type").alias("key"), F.timestamp_millis(ms).alias("ts"))
-    return throttled(events).select("key", F.unix_millis("ts").alias("ms"))
-
-
 # on the events' own time axis: four notices an event, and four around the end of its hour, so that chunks hand over to the next
-@register("throttle_hours", "O-STR-2", """WITH RECURSIVE given AS (
+@register("throttle", "O-STR-2", """WITH RECURSIVE given AS (
   SELECT event_type AS key, epoch_us(ts) // 1000 AS t, (epoch_us(ts) // 1000 // 3600000 + 1) * 3600000 AS border FROM events),
 times AS MATERIALIZED (
   SELECT DISTINCT key, CAST(ms AS BIGINT) AS ms FROM (
@@ -720,7 +704,7 @@ sent(key, ms) AS (
   UNION
   SELECT j.key, j.later FROM sent JOIN jumps j ON j.key = sent.key AND j.ms = sent.ms)
 SELECT key, ms FROM sent""")
-def throttle_hours(spark, folder):
+def throttle(spark, folder):
     return throttled(hourly_notices(table(spark, folder, "events"))).select("key", F.unix_millis("ts").alias("ms"))
 
 

@@ -129,6 +129,6 @@ def test_latest_row_of_a_hot_key(spark):
 
 
 def test_registered_crawl_plan_has_every_page_of_a_source(spark, small_tables):
-    rows = CATALOG["search_urls_capped"].run(spark, small_tables).groupBy("source").agg(F.min("page"), F.max("page")).collect()
+    rows = CATALOG["search_urls"].run(spark, small_tables).groupBy("source").agg(F.min("page"), F.max("page")).collect()
     assert {r[0]: (r[1], r[2]) for r in rows} == {
         s.name: (1, s.page_cap) for s in active_sources()}

@@ -12,8 +12,9 @@ from offerloom.operators.pages import accepted, classify, rejects, require_ok
 from offerloom.operators.relevance import is_relevant, page_words, relevance_flag
 from offerloom.plans.flow import analyze_offers, run_stages
 from offerloom.sources import tables
-from offerloom.streaming import flow
 from offerloom.streaming.chain import Chain, chain_events, start_chain
+from offerloom.streaming.discovery import Discovery, crawl_stream, start_discovery
+from offerloom.streaming.status import LiveStatus
 from offerloom.streaming.throttle import throttled, throttled_stream
 
 T0 = dt.datetime(2026, 3, 1)
@@ -182,22 +183,32 @@ def test_relevance(spark):
 
 # --- streaming ---------------------------------------------------------------
 
-def test_streamed_discovery_equals_batch(spark, tmp_path):
-    rows = [
-        ("linkedin", k, "remote", p, [f"https://x/{(p * 7 + i) % 5}?q" for i in range(3)], True,
-         T0 + dt.timedelta(minutes=10 * p + len(k)))
-        for p in range(6) for k in ("Ruby", "Go lang")]
-    source = str(tmp_path / "crawl")
-    for n in range(0, len(rows), 4):
-        spark.createDataFrame(rows[n:n + 4], schemas.CRAWL_RESULTS).coalesce(1).write.mode(
-            "append").parquet(source)
-    stream = flow.crawl_stream(spark, source, files_per_batch=1)
-    query = flow.start_discovery(stream, str(tmp_path / "digests"), str(tmp_path / "cp"))
-    query.awaitTermination()
+def crawled(run, page, more, keyword="Ruby", urls=3):
+    found = [f"https://x/{run}/{(page * 7 + i) % 5}?q" for i in range(urls)]
+    return ("linkedin", keyword, run, page, found, more, T0 + dt.timedelta(minutes=10 * page + len(keyword)))
+
+
+def test_streamed_discovery_is_resumed_by_page(spark, tmp_path, monkeypatch):
+    from offerloom.streaming import discovery as module
+
+    monkeypatch.setattr(module, "MERGE_EVERY", 2)
+    turns = [
+        [crawled("a", p, True) for p in (1, 2)] + [crawled("b", 1, True, "Go lang")],
+        [crawled("a", 3, True), crawled("b", 2, False, "Go lang"), crawled("b", 3, True, "late", 1)],
+        [crawled("a", 3, True), crawled("a", 4, True), crawled("b", 4, True, "past the end", 1)],
+        [crawled("a", p, True) for p in range(5, 13)] + [crawled("a", 1, False, "again", 1)],
+    ]
+    source, root, cp = (str(tmp_path / n) for n in ("crawl", "run", "cp"))
+    for number, rows in enumerate(turns):
+        spark.createDataFrame(rows, schemas.CRAWL_RESULTS).coalesce(1).write.mode("append").parquet(source)
+        if number % 2:  # the stream stops after two turns and is taken up again
+            start_discovery(crawl_stream(spark, source, files_per_batch=1), root, cp, ["source", "work_mode"]).awaitTermination()
+    found = Discovery(spark, root, ["source", "work_mode"])
+    assert {r["work_mode"]: (r["page"], r["ended"]) for r in found.cursor().collect()} == {"a": (10, True), "b": (2, True)}
+    counted = [r for turn in turns for r in turn if (r[2] == "a" and r[1] == "Ruby" and r[3] <= 10) or (r[2] == "b" and r[3] <= 2)]
     empty = spark.createDataFrame([], schemas.OFFERS)
-    streamed = discovery.upsert(empty, flow.current_digest(spark, str(tmp_path / "digests")))
-    batch = discovery.upsert(empty, discovery.digest(discovery.sightings(
-        spark.createDataFrame(rows, schemas.CRAWL_RESULTS))))
+    batch = discovery.upsert(empty, discovery.digest(discovery.sightings(spark.createDataFrame(counted, schemas.CRAWL_RESULTS))))
+    streamed = discovery.upsert(empty, found.current())
 
     def facts(df):
         return sorted(
@@ -205,6 +216,60 @@ def test_streamed_discovery_equals_batch(spark, tmp_path):
             for r in df.collect())
 
     assert facts(streamed) == facts(batch)
+    assert sorted(found.digests.folders()) == [("batch", 2), ("batch", 3), ("upto", 1)]
+
+
+def job_runs(spark, rows):
+    item = '{"wrapped": "Sourcing::FetchJob"}'
+    given = [(job, state, item if job != "x" else '{"class": "Other"}', T0 + dt.timedelta(seconds=at)) for job, state, at in rows]
+    return spark.createDataFrame(given, "job string, state string, item string, at timestamp")
+
+
+def test_live_status_takes_back_earlier_states(spark, tmp_path, monkeypatch):
+    from offerloom.streaming import status as module
+
+    monkeypatch.setattr(module, "MERGE_EVERY", 2)
+    live = LiveStatus(spark, str(tmp_path))
+    assert tuple(live.current().first()) == (False, 0, 0, None)
+    steps = [
+        ([("a", "queued", 1), ("b", "queued", 2), ("x", "queued", 2)], (True, 2, 0)),
+        ([("a", "running", 3), ("c", "queued", 3), ("c", "running", 3)], (True, 1, 2)),
+        ([("a", "queued", 1), ("a", "done", 9), ("a", "running", 4)], (True, 1, 1)),  # late and repeated rows
+        ([("a", "running", 5), ("b", "failed", 9), (None, "queued", 9)], (True, 0, 1)),
+        ([("c", "done", 10)], (False, 0, 0)),
+        ([("a", "queued", 11)], (True, 1, 0)),  # the job is run again
+    ]
+    for number, (rows, want) in enumerate(steps):
+        for _ in range(2):  # a batch that is run again changes nothing
+            live.advance(job_runs(spark, rows), number)
+            assert tuple(live.current().first())[:3] == want
+    assert len(live.counts.folders()) == 2 and ("upto", 3) in live.jobs.folders()
+
+
+def test_upsert_by_key_or_url(spark):
+    def stored(i, url, key):
+        row = list(offer(i, "apec", ["old"]))
+        names = [f.name for f in schemas.OFFERS.fields]
+        row[names.index("url")], row[names.index("url_hash")] = url, key
+        return tuple(row)
+
+    offers = spark.createDataFrame([stored(1, "u1", "k1"), stored(2, "u2", "other"), stored(3, "u3", "k3"), stored(4, "u3", "z3")], schemas.OFFERS)
+    later = T0 + dt.timedelta(days=1)
+    incoming = spark.createDataFrame([
+        ("k1", "u1", "wttj", ["new"], T0, later), ("k2", "u2", "wttj", ["x"], T0, later), ("other", "u2 moved", "linkedin", ["y"], T0, T0),
+        ("n3", "u3", "wttj", ["old", "z"], T0, later), ("k5", "u5", "wttj", ["five"], T0, later)],
+        "url_hash string, url string, source string, keywords array<string>, first_at timestamp, last_at timestamp")
+    found = {r["url_hash"]: (r["url"], r["source"], r["keywords"], r["last_seen_at"]) for r in discovery.upsert(offers, incoming).collect()}
+    assert found == {
+        "k1": ("u1", "wttj", ["old", "new"], later),
+        "other": ("u2 moved", "linkedin", ["old", "y", "x"], later),  # claimed by key and by url
+        "k3": ("u3", "apec", ["old", "z"], later),  # the least key that has the url
+        "z3": ("u3", "apec", ["old"], T0),
+        "k5": ("u5", "wttj", ["five"], later),
+    }
+    steady = incoming.where("url_hash not in ('k2', 'other')")
+    once = discovery.upsert(offers, steady)
+    assert rows_of(discovery.upsert(once, steady)) == rows_of(once)
 
 
 def streamed_chain(spark, folder, batches, profile=PROFILE):

@@ -56,6 +56,6 @@ def test_registered_row_hands_over_between_hours(spark, small_tables):
         given.setdefault(r.key, {}).setdefault(r.ms // CHUNK_MS, []).append(r.ms)
     assert all(len(chunks) > 24 for chunks in given.values())
     apart = {(key, t) for key, chunks in given.items() for times in chunks.values() for t in notices(sorted(times), 0)}
-    sent = {tuple(r) for r in CATALOG["throttle_hours"].run(spark, small_tables).collect()}
+    sent = {tuple(r) for r in CATALOG["throttle"].run(spark, small_tables).collect()}
     assert apart - sent
     assert sent == {(key, t) for key, chunks in given.items() for t in brute({t for times in chunks.values() for t in times})}
