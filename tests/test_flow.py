@@ -181,6 +181,35 @@ def test_relevance(spark):
     assert [r[0] for r in plain] == [False, True]
 
 
+# --- page store ---------------------------------------------------------------
+
+def stored_page(i, html, day, version=1):
+    return (f"h{i}", f"https://x/{i}", "apec", html, None if day is None else T0 + dt.timedelta(days=day), version)
+
+
+def test_page_store_touches_only_what_a_fetch_changes(spark, tmp_path):
+    import glob
+    import os
+
+    path = str(tmp_path / "store")
+    tables.create_page_store(spark.createDataFrame([stored_page(i, f"old {i}", 1) for i in range(40)], schemas.RAW_PAGES), path, 8)
+    before = {f: os.path.getmtime(f) for f in glob.glob(f"{path}/bucket=*/*.parquet")}
+    fetch = [stored_page(3, "new 3", 2), stored_page(3, "newer 3", 3), stored_page(3, "newer 3", 3), stored_page(50, "first", 2),
+             stored_page(4, "older", 0), stored_page(5, "old 5", 1), stored_page(6, "no time", None), stored_page(7, "v2", 1, 2)]
+    fetched = spark.createDataFrame(fetch, schemas.RAW_PAGES)
+    touched = tables.update_page_store(spark, path, fetched, 8)
+    found = {r["url_hash"]: r["html"] for r in tables.read_page_store(spark, path).collect()}
+    want = {f"h{i}": f"old {i}" for i in range(40)} | {"h3": "newer 3", "h50": "first", "h7": "v2"}
+    assert found == want and 0 < len(touched) < 8
+    assert tables.read_page_store(spark, path).count() == len(want)
+    after = {f: os.path.getmtime(f) for f in glob.glob(f"{path}/bucket=*/*.parquet")}
+    kept = {f for f in before if int(f.split("bucket=")[1].split("/")[0]) not in touched}
+    assert kept and all(after[f] == before[f] for f in kept)
+    tables.update_page_store(spark, path, fetched, 8)
+    assert {r["url_hash"]: r["html"] for r in tables.read_page_store(spark, path).collect()} == want
+    assert tables.update_page_store(spark, path, fetched.limit(0), 8) == []
+
+
 # --- streaming ---------------------------------------------------------------
 
 def crawled(run, page, more, keyword="Ruby", urls=3):

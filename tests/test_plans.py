@@ -85,3 +85,25 @@ def test_chain_shuffles_on_the_url_key_only_and_before_the_parser(spark):
     (parser,) = [i for i, line in enumerate(plan) if "ArrowEvalPython [_parsed(" in line]
     assert re.search(r"ArrowEvalPython \[_parsed\(CASE WHEN _run#\d+ THEN html#\d+ END\)#", plan[parser])
     assert parser < exchanges[0] and not any("InArrow" in line for line in plan)
+
+
+def test_bucketed_tables_meet_without_a_shuffle(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from offerloom.plans.catalog_chain import chain_inputs
+    from offerloom.plans.catalog_search import PROFILE
+    from offerloom.plans.flow import run_stages
+    from offerloom.sources.tables import write_bucketed
+
+    inputs = chain_inputs(spark, "/root/testdata/sf0.001")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tables = [write_bucketed(t, f"bucketed_{n}", f"{tmp_path}/{n}", 4) for n, t in zip(("offers", "pages", "responses"), inputs)]
+        done = run_stages(*tables, PROFILE, F.lit("2026-01-01").cast("timestamp"))
+        assert "Exchange" not in plan_of(done)
+        plain = run_stages(*inputs, PROFILE, F.lit("2026-01-01").cast("timestamp"))
+        assert sorted(map(str, done.select("id", "score").collect())) == sorted(map(str, plain.select("id", "score").collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for n in ("offers", "pages", "responses"):
+            spark.sql(f"DROP TABLE IF EXISTS bucketed_{n}")
