@@ -6,7 +6,7 @@ is the first event at t + 1000 ms or later.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,6 +16,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from offerloom.fixed_values import STATUS_THROTTLE_MS
 
 CHUNK_MS = 3_600_000
+FAN_IN = 32  # chunks, and nodes, that one node of the tree stands for
+LEVELS = 4
+NEVER = -(1 << 62)  # earlier than any time
 
 
 def notices(times: list[int], free_from: int, gap: int = STATUS_THROTTLE_MS) -> list[int]:
@@ -27,16 +30,48 @@ def notices(times: list[int], free_from: int, gap: int = STATUS_THROTTLE_MS) ->
     return out
 
 
+def hand_over(times: list[int], start: int, gap: int = STATUS_THROTTLE_MS) -> tuple[list[int], list[int]]:
+    """What a chunk does to the time from which its key is free, as steps.
+
+    Free from ``starts[i]``, or later but before ``starts[i + 1]``, the chunk leaves the key free from
+    ``ends[i]``. Only when the key becomes free within the chunk's first second makes a difference.
+    """
+    early = times[: bisect_left(times, start + gap)]
+    starts, ends = [], []
+    for free_from in [start] + [t + 1 for t in early]:
+        sent = notices(times, free_from, gap)
+        end = sent[-1] + gap if sent else free_from
+        if not ends or end != ends[-1]:
+            starts.append(free_from)
+            ends.append(end)
+    return starts, ends
+
+
+def step(starts, ends, free_from: int) -> int:
+    """The time that a step function gives; before its first step, that of the first."""
+    return int(ends[max(0, bisect_right(starts, free_from) - 1)])
+
+
+def composed(parts) -> tuple[list[int], list[int]]:
+    """Step functions (starts, ends) one after the other, as one."""
+    starts, ends = parts[0]
+    starts, ends = list(starts), list(ends)
+    for next_starts, next_ends in parts[1:]:
+        ends = [step(next_starts, next_ends, e) for e in ends]
+    kept = [i for i, e in enumerate(ends) if i == 0 or e != ends[i - 1]]
+    return [starts[i] for i in kept], [ends[i] for i in kept]
+
+
 def throttled(events: DataFrame, key: str = "key", ts: str = "ts") -> DataFrame:
     """(key, ts) of the notices, exact for a key of any size.
 
     Events are cut into hour chunks of distinct milliseconds, so the largest
     group is bounded by the clock and not by the number of events. What a chunk
-    passes to the next one depends only on when the chunk becomes free, and that
-    matters only for events in its first second: each chunk is reduced, in
-    parallel, to a small table "free from -> busy until". Those tables are
-    chained per key (one short row per hour), then every chunk is replayed with
-    its true starting point.
+    passes to the next one is a step function "free from -> free from" of at most
+    a thousand steps. Functions are composed by FAN_IN up a tree of chunks, and
+    the time from which a key is free is handed down again: no row holds more than
+    FAN_IN functions, however many years a key has. Then every chunk is replayed
+    with its true starting point.
     """
     ms = F.unix_millis(F.col(ts).cast("timestamp"))
     chunks = (
@@ -46,49 +81,46 @@ def throttled(events: DataFrame, key: str = "key", ts: str = "ts") -> DataFrame:
         .agg(F.sort_array(F.collect_set("ms")).alias("times"))
     )
     key_type = dict(chunks.dtypes)["key"]
+    node = f"key {key_type}, node long, starts array<long>, ends array<long>"
+
+    def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            steps = [hand_over(list(t), c * CHUNK_MS) for c, t in zip(batch["chunk"], batch["times"])]
+            yield pd.DataFrame({
+                "key": batch["key"], "node": batch["chunk"],
+                "starts": [s for s, _ in steps], "ends": [e for _, e in steps]})
 
-    def reduce_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            steps = [composed([(p["starts"], p["ends"]) for p in parts]) for parts in batch["parts"]]
+            yield pd.DataFrame({
+                "key": batch["key"], "node": batch["parent"],
+                "starts": [s for s, _ in steps], "ends": [e for _, e in steps]})
+
+    def down(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for row_key, chunk, times in zip(batch["key"], batch["chunk"], batch["times"]):
-                start, times = chunk * CHUNK_MS, list(times)
-                early = [t for t in times[:STATUS_THROTTLE_MS] if t < start + STATUS_THROTTLE_MS]
-                starts = [start] + [t + 1 for t in early]
-                busy = []
-                for free_from in starts:
-                    sent = notices(times, free_from)
-                    busy.append(sent[-1] + STATUS_THROTTLE_MS if sent else free_from)
-                rows.append((row_key, chunk, starts, busy))
-            yield pd.DataFrame(rows, columns=["key", "chunk", "starts", "busy"])
-
-    tables = chunks.mapInPandas(
-        reduce_chunks,
-        f"key {key_type}, chunk long, starts array<long>, busy array<long>",
-    )
-    in_order = tables.groupBy("key").agg(
-        F.sort_array(F.collect_list(F.struct("chunk", "starts", "busy"))).alias("tables"))
-    # chain: the entry of a chunk is when the one before left the key free
-    chained = F.aggregate(
-        "tables",
-        F.struct(
-            F.lit(0).cast("long").alias("free"),
-            F.array().cast("array<struct<chunk:bigint,free:bigint>>").alias("entries"),
-        ),
-        lambda state, t: F.struct(
-            # last start that is not later than the entry
-            F.element_at(t["busy"], F.size(F.filter(
-                t["starts"],
-                lambda start: start <= F.greatest(state["free"], t["chunk"] * CHUNK_MS),
-            ))).alias("free"),
-            F.concat(
-                state["entries"],
-                F.array(F.struct(t["chunk"].alias("chunk"), state["free"].alias("free"))),
-            ).alias("entries"),
-        ),
-        lambda state: state["entries"],
-    )
-    entries = in_order.select("key", F.explode(chained).alias("_e")).select(
-        "key", "_e.chunk", "_e.free")
+            for row_key, parts, free in zip(batch["key"], batch["parts"], batch["free"]):
+                for part in parts:
+                    rows.append((row_key, part["node"], free))
+                    free = step(part["starts"], part["ends"], free)
+            yield pd.DataFrame(rows, columns=["key", "node", "free"])
+
+    def families(nodes: DataFrame, fan_in: int) -> DataFrame:
+        return nodes.withColumn("parent", F.floor(F.col("node") / fan_in)).groupBy("key", "parent").agg(
+            F.sort_array(F.collect_list(F.struct("node", "starts", "ends"))).alias("parts"))
+
+    nodes = chunks.mapInPandas(leaves, node)
+    levels = []
+    for _ in range(LEVELS):
+        levels.append(families(nodes, FAN_IN))
+        nodes = levels[-1].mapInPandas(up, node)
+    # a node of the last level covers a century
+    top = nodes.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "starts", "ends"))).alias("parts"))
+    free = top.withColumn("free", F.lit(NEVER)).mapInPandas(down, f"key {key_type}, node long, free long")
+    for family in reversed(levels):
+        handed = family.join(free.withColumnRenamed("node", "parent"), ["key", "parent"])
+        free = handed.select("key", "parts", "free").mapInPandas(down, f"key {key_type}, node long, free long")
 
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -97,7 +129,7 @@ def throttled(events: DataFrame, key: str = "key", ts: str = "ts") -> DataFrame:
             yield pd.DataFrame({"key": batch["key"], "sent": sent})
 
     return (
-        chunks.join(entries, ["key", "chunk"])
+        chunks.join(free.withColumnRenamed("node", "chunk"), ["key", "chunk"])
         .select("key", "times", "free")
         .mapInPandas(replay, f"key {key_type}, sent array<long>")
         .select(F.col("key").alias(key), F.explode("sent").alias("_ms"))

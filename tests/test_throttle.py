@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from offerloom.plans import catalog_rules
 from offerloom.plans.catalog import CATALOG
-from offerloom.streaming.throttle import CHUNK_MS, notices, throttled
+from offerloom.streaming.throttle import CHUNK_MS, FAN_IN, composed, hand_over, notices, step, throttled
 
 EPOCH = dt.datetime(1970, 1, 1)
 
@@ -29,6 +29,35 @@ def test_notices_equal_brute_force(times):
     assert notices(sorted(set(times)), 0) == brute(set(times))
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 4999), max_size=40), min_size=1, max_size=5), st.integers(-10, 999))
+def test_composed_steps_equal_replaying_the_chunks(chunks, free_from):
+    """Chunks of five seconds that hand over."""
+    parts, times = [], []
+    for n, offsets in enumerate(chunks):
+        own = sorted({n * 5000 + t for t in offsets})
+        times += own
+        if own:
+            parts.append(hand_over(own, n * 5000))
+    if not parts:
+        return
+    whole = composed(parts)
+    assert len(whole[0]) <= 1001 and all(a != b for a, b in zip(whole[1], whole[1][1:]))
+    sent = notices(times, free_from)
+    border = len(chunks) * 5000  # what the next chunk can tell apart
+    assert max(border, step(*whole, free_from)) == max(border, sent[-1] + 1000 if sent else free_from)
+
+
+def test_ten_years_of_one_key(spark):
+    rng = random.Random(3)
+    centres = [CHUNK_MS * h for h in range(400_000, 400_000 + 87_600, 11)]
+    times = {c + rng.randint(-1500, 1500) for c in centres for _ in range(6)}
+    rows = [("k", EPOCH + dt.timedelta(milliseconds=t)) for t in times]
+    found = throttled(spark.createDataFrame(rows, "key string, ts timestamp")).select(F.unix_millis("ts")).collect()
+    assert sorted(r[0] for r in found) == brute(times)
+    assert FAN_IN * 1001 * 2 * 8 < 1_000_000  # the longest row
+
+
 def test_chunks_chain_exactly(spark):
     """Dense events across many chunk borders, one key with most of the rows."""
     rng = random.Random(11)
