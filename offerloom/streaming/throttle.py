@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from offerloom.fixed_values import STATUS_THROTTLE_MS
+from offerloom.sources.tables import stash
 
 CHUNK_MS = 3_600_000
 FAN_IN = 32  # chunks, and nodes, that one node of the tree stands for
-LEVELS = 4
+LEVELS = 3
 NEVER = -(1 << 62)  # earlier than any time
 
 
@@ -113,9 +114,9 @@ def throttled(events: DataFrame, key: str = "key", ts: str = "ts") -> DataFrame:
     nodes = chunks.mapInPandas(leaves, node)
     levels = []
     for _ in range(LEVELS):
-        levels.append(families(nodes, FAN_IN))
+        levels.append(stash(families(nodes, FAN_IN)))  # read on the way up and on the way down
         nodes = levels[-1].mapInPandas(up, node)
-    # a node of the last level covers a century
+    # a node of the last level covers almost four years
     top = nodes.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "starts", "ends"))).alias("parts"))
     free = top.withColumn("free", F.lit(NEVER)).mapInPandas(down, f"key {key_type}, node long, free long")
     for family in reversed(levels):
