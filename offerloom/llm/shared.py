@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 
@@ -14,10 +15,12 @@ from pyspark.sql import functions as F
 def scratch_folder(spark: SparkSession) -> str:
     """A new folder below the one that the session names in spark.checkpoint.dir.
 
-    Only where none is named, as in tests on one machine, a temporary one is made.
+    Only where none is named and the session runs on one machine, as in tests, a temporary one is made.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[\d*, ]+\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="offerloom-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}"
