@@ -212,14 +212,13 @@ def page_at(rows: DataFrame, params: SearchParams, offset: int, top_rows: int =
         before = [total - n for n in behind]
         first = max((i for i, n in enumerate(before) if n <= offset), default=None)
         last = min((i for i, n in enumerate(before) if n >= offset + params.per_page), default=None)
-        if first is None and last is None:
-            break
         if first is not None:
             lower = [_after(params, cuts[first])]
             offset -= before[first]
         if last is not None:
             upper = [~_after(params, cuts[last])]
-        if first is None or before[first] == 0:
+        left = (total if last is None else before[last]) - (0 if first is None else before[first])
+        if left == total:
             break
     for condition in lower + upper:
         rows = rows.where(condition)
