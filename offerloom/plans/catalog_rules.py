@@ -10,7 +10,7 @@ from offerloom.functions import dates, places, rules, salary, text
 from offerloom.functions.arrays import array_to_json
 from offerloom.operators import enrich, incremental, metrics, migrate, quality
 from offerloom.operators.relevance import is_relevant, reject, relevance_flag
-from offerloom.plans.registered import register
+from offerloom.plans.registered import CATALOG, register
 from offerloom.plans.views import (
     BASE_SQL,
     JOB_CLASS_SQL,
@@ -424,6 +424,16 @@ def prompt_text(spark, folder):
     return enrich.prompts(offers_with_text(spark, folder))
 
 
+@register("generated_responses", "O-UDF-2", f"""WITH asked AS ({CATALOG["prompt_text"].sql})
+SELECT url_hash, '{{"chars": ' || length(prompt) || ', "first": "Job title"}}' AS payload FROM asked""")
+def generated_responses(spark, folder):
+    """Responses by a caller's own generator, which tells each prompt's length and how it begins."""
+    def generator(prompts):
+        return prompts.map(lambda p: f'{{"chars": {len(p)}, "first": "{p[:9]}"}}')
+
+    return enrich.generate_responses(prompt_text(spark, folder), generator)
+
+
 PAYLOADS = [
     '{"location_mode":"hybrid","city":"Lyon","hybrid_remote_days_min_per_week":3,'
     '"primary_technologies":["Ruby on Rails"," C++ ","C++"],"secondary_technologies":null,'
@@ -485,6 +495,21 @@ def response_apply(spark, folder):
         "offer_language", F.col("steps_details")["enrich"]["at"].alias("enriched_at"))
 
 
+@register("response_apply_strict", "O-ENR-3", f"""WITH {BASE_SQL}, t AS (SELECT *,
+    id % 4 AS kind, source = 'linkedin' AS li,
+    id % 9 <> 0 AND NOT rejected AND (id % 5 = 0 OR step_version <> 1) AS run FROM base)
+SELECT id, CASE WHEN run THEN CASE WHEN li AND kind = 0 THEN 3 END ELSE hybrid_remote_days_min_per_week END AS days FROM t""")
+def response_apply_strict(spark, folder):
+    """Remote days where only LinkedIn's mode, which comes with the response, is known to the step."""
+    done = enrich.enrich_offers(
+        offers_base(spark, folder).withColumns({
+            "city": F.lit(None).cast("string"), "offer_language": F.lit(None).cast("string"),
+            "normalized_seniority": F.lit(None).cast("string"), "english_level_required": F.lit(None).cast("string"),
+            "primary_technologies": F.array().cast("array<string>"), "secondary_technologies": F.array().cast("array<string>")}),
+        responses(spark, folder), now(), strict_reference=True)
+    return done.select("id", F.col("hybrid_remote_days_min_per_week").cast("long").alias("days"))
+
+
 # --- gates -------------------------------------------------------------------
 
 @register("version_gate", "O-INC-1 O-INC-3 O-INC-4", f"""WITH {BASE_SQL}

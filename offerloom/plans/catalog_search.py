@@ -248,6 +248,20 @@ def search_by_title(spark, folder):
     return search.search_page(rows, params).select("id", "title")
 
 
+@register("search_toggled", "O-SRT-4", f"""WITH {BASE_SQL}
+SELECT 'same column' AS click, id FROM (SELECT id FROM base WHERE NOT rejected ORDER BY score ASC NULLS LAST, id LIMIT 25)
+UNION ALL SELECT 'again', id FROM (SELECT id FROM base WHERE NOT rejected ORDER BY score DESC NULLS LAST, id LIMIT 25)
+UNION ALL SELECT 'other column', id FROM (SELECT id FROM base WHERE NOT rejected ORDER BY title DESC NULLS LAST, id LIMIT 25)""")
+def search_toggled(spark, folder):
+    """Pages after clicks on column heads, from the default order by falling score."""
+    rows, order, pages = offers_base(spark, folder), ("score", "desc"), []
+    for click, column in (("same column", "score"), ("again", "score"), ("other column", "title")):
+        order = search.toggle_sort(*order, column)
+        params = search.SearchParams(sort_by=order[0], sort_direction=order[1])
+        pages.append(search.search_page(rows, params).select(F.lit(click).alias("click"), "id"))
+    return pages[0].union(pages[1]).union(pages[2])
+
+
 @register("search_deep_page", "O-SRT-2", f"""WITH {BASE_SQL}
 SELECT id, CAST(score AS BIGINT) AS score FROM base WHERE NOT rejected
 ORDER BY score DESC NULLS LAST, id LIMIT 50 OFFSET (
@@ -373,6 +387,18 @@ def score_offers(spark, folder):
         "id", F.col("new_score").cast("long").alias("score"))
 
 
+@register("score_by_days", "O-SCR-7", f"WITH {SCORED_SQL} SELECT id, true AS monotone, CAST(5 AS BIGINT) AS tried FROM final")
+def score_by_days(spark, folder):
+    """Each offer as hybrid with 1 to 5 remote days: more days never score lower."""
+    days = offers_view(spark, folder).withColumn("location_mode", F.lit("hybrid")).withColumn(
+        "hybrid_remote_days_min_per_week", F.explode(F.array(*[F.lit(d) for d in range(1, 6)])))
+    scored = score.score_with(days, score.literal_profile(PROFILE))
+    tried = F.sort_array(F.collect_list(F.struct("hybrid_remote_days_min_per_week", "new_score")))
+    in_order = F.transform("tried", lambda t: t["new_score"])
+    return scored.groupBy("id").agg(tried.alias("tried")).select(
+        "id", (F.array_sort(in_order) == in_order).alias("monotone"), F.size("tried").cast("long").alias("tried"))
+
+
 @register("score_breakdown", "O-SCR-5 O-SET-1 O-SET-2", f"""WITH {SCORED_SQL}
 SELECT id, CASE WHEN len(op) = 0 THEN 'offer_has_no_technologies' END AS warning,
   CASE WHEN len(op) > 0 AND len(missing) > 0 THEN array_to_string(missing, '|') END AS missing,
