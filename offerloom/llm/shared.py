@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +35,17 @@ def stash(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy(run):
+    """A function of a task's batches after which Arrow gives back to the system what it has kept: Python
+    workers stay for later tasks, beside others."""
+
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return whole
+
+
 def version(text: Column) -> Column:
     """32 bits of a text's hash: tells rows that repeat a doc_id with another text apart."""
     return F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
