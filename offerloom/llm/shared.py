@@ -64,17 +64,13 @@ def bitmap(keys: DataFrame) -> np.ndarray:
     keys = keys.select(F.col(name).alias("k"))
     bits = min(MAX_BITMAP_BITS, max(16, math.ceil(math.log2(32 * keys.count() + 2))))
     place = F.shiftrightunsigned("k", 64 - bits)
-    rows = (
+    words = (
         keys.select(F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, cast(%s & 63 as int))" % f"shiftrightunsigned(k, {64 - bits})").alias("bit"))
         .groupBy("word").agg(F.bit_or("bit").alias("bits"))
-        .groupBy(F.shiftright("word", 10).alias("block"))
-        .agg(F.collect_list(F.struct("word", "bits")).alias("words"))
-        .collect()
+        .toArrow()  # no Python object for each word
     )
     table = np.zeros(1 << (bits - 6), np.uint64)
-    for row in rows:
-        for word, value in row["words"]:
-            table[word] = value & 0xFFFFFFFFFFFFFFFF
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
     return table
 
 
