@@ -27,6 +27,7 @@ from offerloom.plans.views import (
     table,
     ts_text,
 )
+from offerloom.sources.partitions import spread
 from offerloom.sources.profile import parse_profiles
 from offerloom.streaming.throttle import CHUNK_MS, throttled
 
@@ -737,5 +738,7 @@ def hourly_notices(events):
     at = F.unix_millis(F.col("ts").cast("timestamp"))
     border = (F.floor(at / CHUNK_MS) + 1) * CHUNK_MS + at % 400
     times = F.array(*[at + n for n in (0, 400, 1000, 1700)], *[border + n for n in (-800, -400, 0, 400)])
+    # narrow rows are spread before each becomes eight
+    events = spread(events.select("event_id", "event_type", "ts"), "event_id")
     return events.select(F.col("event_type").alias("key"), F.explode(times).alias("ms")).select(
         "key", F.timestamp_millis("ms").alias("ts"))

@@ -7,8 +7,9 @@ is the first event at t + 1000 ms or later.
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -22,12 +23,12 @@ LEVELS = 3
 NEVER = -(1 << 62)  # earlier than any time
 
 
-def notices(times: list[int], free_from: int, gap: int = STATUS_THROTTLE_MS) -> list[int]:
+def notices(times: Sequence[int], free_from: int, gap: int = STATUS_THROTTLE_MS) -> list[int]:
     """Notice times for sorted event times, nothing allowed before free_from."""
     out, at = [], bisect_left(times, free_from)
     while at < len(times):
-        out.append(times[at])
-        at = bisect_left(times, times[at] + gap, at)
+        out.append(int(times[at]))
+        at = bisect_left(times, out[-1] + gap, at)
     return out
 
 
@@ -63,6 +64,17 @@ def composed(parts) -> tuple[list[int], list[int]]:
     return [starts[i] for i in kept], [ends[i] for i in kept]
 
 
+def distinct_times(parts: Iterable[np.ndarray]) -> np.ndarray:
+    """Distinct times, ascending: eight bytes each, folded together when as many again have come."""
+    times, waiting, size = np.empty(0, "int64"), [], 0
+    for part in parts:
+        waiting.append(part)
+        size += len(part)
+        if size > max(len(times), 100_000):
+            times, waiting, size = np.unique(np.concatenate([times, *waiting])), [], 0
+    return np.unique(np.concatenate([times, *waiting]))
+
+
 def throttled(events: DataFrame, key: str = "key", ts: str = "ts") -> DataFrame:
     """(key, ts) of the notices, exact for a key of any size.
 
@@ -157,8 +169,7 @@ def throttled_stream(events: DataFrame, key: str = "key", ts: str = "ts") -> Dat
         group: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
         free_from = state.get[0] if state.exists else 0
-        times = sorted({int(t) for batch in batches for t in batch["ms"]})
-        sent = notices(times, free_from)
+        sent = notices(distinct_times(batch["ms"].astype("int64").to_numpy() for batch in batches), free_from)
         if sent:
             state.update((sent[-1] + STATUS_THROTTLE_MS,))
         yield pd.DataFrame({"key": [group[0]] * len(sent), "ms": sent})

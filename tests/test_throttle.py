@@ -1,12 +1,15 @@
 import datetime as dt
 import random
 
+import numpy as np
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from offerloom.plans import catalog_rules
 from offerloom.plans.catalog import CATALOG
-from offerloom.streaming.throttle import CHUNK_MS, FAN_IN, composed, hand_over, notices, step, throttled
+from offerloom.plans.catalog_rules import hourly_notices
+from offerloom.plans.views import table
+from offerloom.streaming.throttle import CHUNK_MS, FAN_IN, composed, distinct_times, hand_over, notices, step, throttled
 
 EPOCH = dt.datetime(1970, 1, 1)
 
@@ -88,3 +91,18 @@ def test_registered_row_hands_over_between_hours(spark, small_tables):
     sent = {tuple(r) for r in CATALOG["throttle"].run(spark, small_tables).collect()}
     assert apart - sent
     assert sent == {(key, t) for key, chunks in given.items() for t in brute({t for times in chunks.values() for t in times})}
+
+
+def test_times_of_a_key_are_eight_bytes_each():
+    parts = [np.arange(70_000) % 50_000, np.arange(40_000, 100_000), np.array([7, 7, 3]), np.empty(0, "int64")]
+    times = distinct_times(iter(parts))
+    assert times.dtype == np.int64 and times.nbytes == 8 * 100_000
+    assert times.tolist() == sorted({int(t) for p in parts for t in p})
+    sent = notices(times, 10)
+    assert sent == notices(times.tolist(), 10) and all(type(t) is int for t in sent)
+    assert distinct_times(iter([])).tolist() == []
+
+
+def test_events_are_spread_before_they_multiply(spark, small_tables):
+    plan = hourly_notices(table(spark, small_tables, "events"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("hashpartitioning(event_id")
