@@ -189,11 +189,19 @@ def read_result_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     ``page_status`` is ok, stop (a later page without links), no_results, or the
     error that would end the crawl.
     """
-    docs = with_doc(pages.withColumn("_state", html_state(F.col(html))), html)
     doc, source, page, url = F.col("doc"), F.col("source"), F.col("page"), F.col("url")
+    with N.looked_up() as index:
+        found = _result_columns(doc, source, page, url)
+    docs = with_doc(pages.withColumn("_state", html_state(F.col(html))), html, index=frozenset(index))
+    read = docs
+    for columns in found:
+        read = read.withColumns(columns)
+    return read.drop("doc", "_state")
+
+
+def _result_columns(doc: Column, source: Column, page: Column, url: Column) -> list[dict[str, Column]]:
     title = F.coalesce(N.first_text(doc, N.select(doc, N.tag("title"))), F.lit(""))
     title_and_text = F.concat_ws(" ", title, doc["visible"])
-    linked = docs.withColumn("discovered_urls", result_links(source, doc, url))
     urls = F.col("discovered_urls")
     none = F.size(urls) == 0
     error, stop = F.lit("no_links"), F.lit("stop")
@@ -227,7 +235,8 @@ def read_result_pages(pages: DataFrame, html: str = "html") -> DataFrame:
         "wttj": N.any_of(doc, N.both(N.tag("button"), N.attr("data-testid", "pagination-next")))
         & (page < PAGE_CAPS["wttj"]),
     })
-    read = linked.withColumn("page_status", F.coalesce(status, F.lit("ok")))
-    return read.withColumn(
-        "has_next_page", (F.col("page_status") == "ok") & has_next
-    ).drop("doc", "_state")
+    return [
+        {"discovered_urls": result_links(source, doc, url)},
+        {"page_status": F.coalesce(status, F.lit("ok"))},
+        {"has_next_page": (F.col("page_status") == "ok") & has_next},
+    ]
