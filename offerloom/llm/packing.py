@@ -27,10 +27,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from offerloom.llm.shared import stash
+from offerloom.llm.shared import stash, tidy
 
 CACHE_WORDS = 400_000  # words met lately that a worker keeps the ids of; it keeps as many from before
-GROUP_BYTES = 4_000_000  # text tokenized at once; a longer text is a group of its own
+GROUP_BYTES = 2_000_000  # text tokenized at once; a longer text is a group of its own
 RANKED = 50_000  # about as many pieces of one length are ranked in one group
 
 
@@ -151,7 +151,7 @@ def _tokenized(path: str, capacity: int, end_id: int):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
                 first = stop
 
-    return run, "doc_id long, piece int, start long, length long, ids_crc32 long"
+    return tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int, int]], int]:

@@ -98,3 +98,19 @@ def test_words_with_punctuation_and_odd_letters():
         for text, high in zip(texts, (ends // 4).tolist()):
             assert ids[low:high] == coder.encode(text, add_special_tokens=False).ids + [1], text
             low = high
+
+
+def test_texts_are_tokenized_two_megabytes_at_once(monkeypatch):
+    met = []
+
+    class Recorder:
+        def texts(self, texts, end_id):
+            met.append(sum(len(t) for t in texts.to_pylist()))
+            return np.full(len(texts), end_id, "<u4").tobytes(), 4 * (np.arange(len(texts)) + 1)
+
+    monkeypatch.setitem(packing._coders, "recorder", Recorder())
+    run, _ = packing._tokenized("recorder", 4096, 1)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(60), pa.int64()), pa.array([b"a" * 100_000] * 60, pa.binary())], names=["doc_id", "text"])
+    assert sum(part.num_rows for part in run([batch])) == 60
+    assert max(met) <= 2_000_000 and sum(met) == 6_000_000
