@@ -15,30 +15,39 @@ documents are only ever mapped, never shuffled.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerloom.llm.words import Words, words
+from offerloom.llm.byte_bpe import groups
+from offerloom.llm.shared import tidy
+from offerloom.llm.words import Words, text_bytes, words
 
 BLOCK_CHARS = 16_000_000  # of items that one pass over the documents tests
+PART_BYTES = 1_000_000  # text folded at once; a longer text is a part of its own
 SEED_BITS = 20
 
 
 def fold(column: pa.Array) -> pa.Array:
     """Text with ASCII punctuation as spaces and ASCII and Latin-1 capitals folded."""
-    column = column.cast(pa.large_binary()).fill_null(b"")
-    _, offsets, data = column.buffers()
-    if data is None or not data.size:
-        return column
-    raw = np.frombuffer(data, np.uint8)
+    offsets, data = text_bytes(column)
+    raw = data[offsets[0] : offsets[-1]]
     out = _FOLDED[raw]
     wide = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)
     out[1:][wide] += 0x20
-    return pa.Array.from_buffers(pa.large_binary(), len(column), [None, offsets, pa.py_buffer(out)], offset=column.offset)
+    return pa.Array.from_buffers(pa.large_binary(), len(column), [None, pa.py_buffer(offsets - offsets[0]), pa.py_buffer(out)])
+
+
+def small(batches: Iterable[pa.RecordBatch], place: int) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in batches of about PART_BYTES of the text in a column."""
+    for batch in batches:
+        for first, stop in groups(pc.binary_length(batch.column(place)).fill_null(0).to_pylist(), PART_BYTES):
+            yield batch.slice(first, stop - first)
 
 
 _FOLDED = np.array([b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)], np.uint8)
@@ -147,7 +156,7 @@ def _tested(shared, shortest: int, coverage: float):
     def run(batches):
         table = shared.value
         size, names, near = table[3], table[4], _near_seeds(table)
-        for batch in batches:
+        for batch in small(batches, 1):
             ids = batch.column(0)
             out: list[list] = [[] for _ in schema]
             for row, item, matched, tiles in _found(batch.column(1), table, near, shortest, coverage):
@@ -157,7 +166,7 @@ def _tested(shared, shortest: int, coverage: float):
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types, strict=True)], schema=schema)
 
-    return run, "doc_id long, item_id long, coverage double, matched_words int, item_words int, tiles array<array<int>>"
+    return tidy(run), "doc_id long, item_id long, coverage double, matched_words int, item_words int, tiles array<array<int>>"
 
 
 def _seed_tables(benchmark: DataFrame, shortest: int):
@@ -194,13 +203,13 @@ def clean(docs: DataFrame, benchmark: DataFrame, shortest: int = 5, coverage: fl
     def kept(shared):
         def run(batches):
             near = _near_seeds(shared.value)
-            for batch in batches:
+            for batch in small(batches, place):
                 keep = np.ones(batch.num_rows, bool)
                 for row, *_ in _found(batch.column(place), shared.value, near, shortest, coverage):
                     keep[row] = False
                 yield batch.filter(pa.array(keep))
 
-        return run
+        return tidy(run)
 
     for shared in _seed_tables(benchmark, shortest):
         docs = docs.mapInArrow(kept(shared), docs.schema)

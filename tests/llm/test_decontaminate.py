@@ -1,6 +1,10 @@
 import random
 import re
+from types import SimpleNamespace
 
+import pyarrow as pa
+
+from offerloom.llm import decontaminate
 from offerloom.llm.decontaminate import leaks, tile
 
 
@@ -70,3 +74,30 @@ def test_empty_tables(spark):
     some = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
     assert leaks(none, items).collect() == [] and leaks(some, items).collect() == []
     assert leaks(none, some.withColumnRenamed("doc_id", "item_id")).collect() == []
+
+
+def test_texts_are_folded_a_megabyte_at_once(monkeypatch):
+    shared = SimpleNamespace(value=decontaminate._seed_table([(7, "a b c d e f")], 5))
+    met, fold = [], decontaminate.fold
+
+    def recorded(column):
+        met.append(sum(len(t or "") for t in column.to_pylist()))
+        return fold(column)
+
+    monkeypatch.setattr(decontaminate, "fold", recorded)
+    run, _ = decontaminate._tested(shared, 5, 0.8)
+    texts = [None if i == 3 else "x " * 50_000 + ("A, b C d é e" if i == 4 else "A, b C d; e F" if i % 10 == 0 else "") for i in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    assert [i for part in run([batch]) for i in part.column(0).to_pylist()] == [0, 10, 20, 30, 40, 50]
+    assert max(met) <= 1_200_000 and sum(met) == sum(len(t or "") for t in texts)
+
+
+def test_slices_fold_like_whole_columns():
+    texts = ["Ab,c", None, "", "ÉÀ×ÿ ß!", "x" * 9, "日本 Z."]
+    for kind in (pa.string(), pa.large_string(), pa.binary()):
+        column = pa.array([t and (t.encode() if kind == pa.binary() else t) for t in texts], kind)
+        whole = decontaminate.fold(column).to_pylist()
+        assert whole == [(t or "").encode() for t in ["ab c", "", "", "éà×ÿ ß ", "x" * 9, "日本 z "]]
+        for first in range(6):
+            for stop in range(first, 7):
+                assert decontaminate.fold(column[first:stop]).to_pylist() == whole[first:stop]
