@@ -17,9 +17,11 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import string
 import zlib
 from array import array
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,14 @@ GROUP_BYTES = 2_000_000  # text tokenized at once; a longer text is a group of i
 RANKED = 50_000  # about as many pieces of one length are ranked in one group
 
 
-PUNCTUATION = string.punctuation.encode()
+def _latin() -> re.Pattern[bytes]:
+    """A word of Latin letters that stay letters (a mark would go with the punctuation), and punctuation after them."""
+    letters = [c.encode() for c in map(chr, range(0x80, 0x250)) if c.isalpha() and c.lower().isalpha()]
+    wide = [re.escape(lead) + b"[%s]" % b"".join(re.escape(x[1:]) for x in letters if x[:1] == lead) for lead in sorted({x[:1] for x in letters})]
+    return re.compile(b"((?:[A-Za-z]++|%s)++)([%s]*)" % (b"|".join(wide), re.escape(string.punctuation.encode())))
+
+
+LATIN = _latin()
 _coders: dict[str, Coder] = {}  # a worker keeps them, with the words it has met, for all its tasks
 
 
@@ -74,11 +83,20 @@ class Coder:
         data = ids.tobytes()
         return [data[a:b] for a, b in zip([0, *stops.tolist()], stops.tolist())]
 
-    def learn(self, words: set[bytes], code, at_once: int) -> None:
-        """Ids of the words that are not known yet."""
-        missing = words.difference(self.known)
-        new = list(missing.difference(self.older))
-        self.known.update((w, self.older[w]) for w in missing.difference(new))
+    def unknown(self, words: Iterable[bytes]) -> list[bytes]:
+        """Those of distinct words that have no ids yet."""
+        known, older = self.known, self.older
+        new = []
+        for word in words:
+            if word not in known:
+                if word in older:
+                    known[word] = older[word]
+                else:
+                    new.append(word)
+        return new
+
+    def learn(self, words: Iterable[bytes], code, at_once: int) -> None:
+        new = self.unknown(words)
         for i in range(0, len(new), at_once):
             self.known.update(zip(new[i : i + at_once], code(new[i : i + at_once]), strict=True))
 
@@ -86,21 +104,12 @@ class Coder:
         """Of distinct words."""
         if len(self.known) > CACHE_WORDS:
             self.known, self.older = {}, self.known
-        new = set(words).difference(self.known)
-        again = new.intersection(self.older)
-        self.known.update((w, self.older[w]) for w in again)
-        new -= again
-        pairs = []
+        new = self.unknown(words)
         if self.parts:
-            for word in new:
-                core = word.rstrip(PUNCTUATION)
-                letters = core.decode("utf-8", "replace")
-                # Latin letters that stay letters: a mark would go with the punctuation
-                if letters.isalpha() and max(letters) < "\u0250" and letters.lower().isalpha():
-                    pairs.append((word, core, word[len(core) :]))
-            self.learn({core for _, core, _ in pairs}, self.in_a_row, 2_000)
-            self.learn({rest for _, _, rest in pairs if rest}, self.coded, 20_000)
-            self.known.update((word, self.known[core] + self.known[rest]) for word, core, rest in pairs if rest)
+            found = [(word, *match.groups()) for word, match in zip(new, map(LATIN.fullmatch, new)) if match]
+            self.learn({core for _, core, _ in found}, self.in_a_row, 2_000)
+            self.learn({rest for _, _, rest in found if rest}, self.coded, 20_000)
+            self.known.update([(word, self.known[core] + self.known[rest]) for word, core, rest in found if rest])
         self.learn(new, self.coded, 20_000)
         return list(map(self.known.__getitem__, words))
 
@@ -114,16 +123,12 @@ class Coder:
         counts = pc.list_value_length(split).to_numpy()
         words = split.flatten().dictionary_encode()
         ids = [*self.ids(words.dictionary.cast(pa.binary()).to_pylist()), array("I", [end_id]).tobytes()]
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        start = np.cumsum(size) - size
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
         row = np.arange(len(counts))
         last = np.cumsum(counts) + row  # place of each text's end among words and ends
         place = np.full(len(words) + len(counts), len(ids) - 1)
         place[np.arange(len(words)) + np.repeat(row, counts)] = words.indices.to_numpy()
-        taken = size[place]
-        stop = np.cumsum(taken)
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        return flat[np.repeat(start[place] - stop + taken, taken) + np.arange(stop[-1] if len(stop) else 0)].tobytes(), 4 * stop[last]
+        return b"".join(map(ids.__getitem__, place.tolist())), np.cumsum(size[place])[last]
 
 
 def _tokenized(path: str, capacity: int, end_id: int):

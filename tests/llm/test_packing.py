@@ -1,4 +1,5 @@
 import random
+import string
 import zlib
 from collections import defaultdict
 
@@ -114,3 +115,17 @@ def test_texts_are_tokenized_two_megabytes_at_once(monkeypatch):
         [pa.array(range(60), pa.int64()), pa.array([b"a" * 100_000] * 60, pa.binary())], names=["doc_id", "text"])
     assert sum(part.num_rows for part in run([batch])) == 60
     assert max(met) <= 2_000_000 and sum(met) == 6_000_000
+
+
+def test_latin_words_and_punctuation_after_them():
+    """What the pattern takes is what letter rules say, for any bytes, in linear time."""
+    rng, marks = random.Random(6), string.punctuation.encode()
+    pieces = [chr(c).encode() for c in range(33, 0x260)] + [b"\xc3", b"\x80", b"\xff", "日".encode(), b"a", b"e", b"."] * 40
+    for _ in range(20_000):
+        word = b"".join(rng.choices(pieces, k=rng.randint(1, 5)))
+        core = word.rstrip(marks)
+        letters = core.decode("utf-8", "replace")
+        latin = letters.isalpha() and max(letters) < "\u0250" and letters.lower().isalpha()
+        match = packing.LATIN.fullmatch(word)
+        assert (match.groups() if match else None) == ((core, word[len(core) :]) if latin else None)
+    assert packing.LATIN.fullmatch("aé".encode() * 200_000 + b"1") is None
