@@ -2,11 +2,11 @@
 
 A word (one match of the splitting pattern) is read from left to right. An
 Aho-Corasick automaton over all tokens, their bytes mapped to Latin-1, tells the
-longest token at each byte. A token may follow another only if merging their
-joined bytes would give back just these two; that depends on the two tokens
-alone and is remembered. Where the longest token may not follow, its longest
-prefix that is a token is tried, then the next; where none may, the token before
-is taken back. Positions that turned out to lead nowhere are marked and never
+longest token at a byte. A token may follow another only if merging their
+joined bytes would give back just these two. Where the longest token may not
+follow, its longest prefix that is a token is tried, then the next; which of
+them may depends on two tokens alone and is remembered. Where none may, the
+token before is taken back. Positions that turned out to lead nowhere are marked and never
 tried again, so the time is linear in the word. The only row of tokens whose
 neighbours all agree is the one that merging by rank ends with.
 
@@ -17,6 +17,7 @@ vocabulary and the ids of common words for all its tasks.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,9 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 GROUP_BYTES = 2_000_000  # text coded at once; a longer text is a group of its own
-CACHE_WORDS = 150_000  # words met lately that a worker keeps the ids of; it keeps as many from before
+CACHE_WORDS = 250_000  # words met lately that a worker keeps the ids of; it keeps as many from before
 CACHE_CHARS = 64  # longer words are coded each time
-CACHE_PAIRS = 500_000  # token pairs a worker remembers the compatibility of
+CACHE_PAIRS = 500_000  # token pairs a worker remembers what may follow of
 
 _coders: dict[tuple[str, str], Coder] = {}
 
@@ -53,7 +54,7 @@ class Bpe:
         self.prefix: dict[int, int | None] = {}  # the longest shorter token that a token starts with
         self.parts: dict[int, tuple[int, int] | None] = {}  # the two tokens it is merged from, None: a byte
         self.merged: dict[tuple[int, int], int] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.steps: dict[tuple[int, int], int | None] = {}
         self.matcher = ahocorasick.Automaton()
         for token, rank in ranks.items():
             self.prefix[rank] = next((ranks[token[:n]] for n in range(len(token) - 1, 0, -1) if token[:n] in ranks), None)
@@ -98,40 +99,45 @@ class Bpe:
             else:
                 return True
 
-    def may_follow(self, left: int, right: int) -> bool:
-        known = self.fits.get((left, right))
-        if known is None:
-            if len(self.fits) >= CACHE_PAIRS:
-                self.fits.clear()
-            known = self.fits[left, right] = self._agree(left, right)
-        return known
+    def step(self, left: int, token: int) -> int | None:
+        """The longest token that may follow `left`: `token` or a prefix of it."""
+        if len(self.steps) >= CACHE_PAIRS:
+            self.steps.clear()
+        found: int | None = token
+        while found is not None and not self._agree(left, found):
+            found = self.prefix[found]
+        self.steps[left, token] = found
+        return found
 
     def encode(self, word: bytes) -> list[int]:
         whole = self.ranks.get(word)
         if whole is not None:
             return [whole]
-        length, prefix = self.length, self.prefix
-        longest = [-1] * len(word)
-        for end, rank in self.matcher.iter(word.decode("latin-1")):
-            longest[end + 1 - length[rank]] = rank  # ends ascend: the last one written is the longest
-        open_ = bytearray(b"\x01") * (len(word) + 1)
+        text = word.decode("latin-1")
+        length, prefix, steps, longest_from = self.length, self.prefix, self.steps, self.matcher.iter_long
+        closed: set[int] = set()  # places from which no row of tokens reaches the end
         out: list[int] = []
         at = 0
-        token: int | None = longest[0] if word else None
         while at < len(word):
-            while token is not None:
-                end = at + length[token]
-                if open_[end] and (not out or self.may_follow(out[-1], token)):
-                    break
-                token = prefix[token]
-            if token is None:  # nothing may stand here: another end for the token before
-                open_[at] = 0
-                token = out.pop()
-                at -= length[token]
-            else:
+            for end, longest in longest_from(text, at):
+                token: int | None = longest
+                while True:
+                    if out and token is not None:
+                        pair = out[-1], token
+                        token = steps[pair] if pair in steps else self.step(*pair)
+                    if token is None:  # nothing may stand here: another end for the token before
+                        closed.add(at)
+                        token = out.pop()
+                        at -= length[token]
+                        token = prefix[token]
+                    elif at + length[token] in closed:
+                        token = prefix[token]
+                    else:
+                        break
                 out.append(token)
-                at = end
-                token = longest[at] if at < len(word) else None
+                at += length[token]
+                if at != end + 1:  # the longest matches go on from another place
+                    break
         return out
 
 
@@ -158,7 +164,7 @@ class Coder:
             self.cache, self.older = {}, self.cache
         cache, long = self.cache, []
         for word in set(words).difference(cache):
-            cache[word] = self.older.get(word) or np.array(self.bpe.encode(word.encode("utf-8", "replace")), "<i4").tobytes()
+            cache[word] = self.older.get(word) or array("i", self.bpe.encode(word.encode("utf-8", "replace"))).tobytes()
             if len(word) > CACHE_CHARS:
                 long.append(word)
         coded = b"".join(map(cache.__getitem__, words))

@@ -86,3 +86,25 @@ def test_query_against_the_library(spark):
         ids = theirs.encode_ordinary(r.text or "")
         want.append((r.doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()))
     assert sorted(map(tuple, QUERIES["op11_byte_bpe"](spark, folder).collect())) == sorted(want)
+
+
+def test_only_longest_matches_are_read(both):
+    """A word costs its longest matches from where tokens begin, not all tokens that end at each byte."""
+    ours, theirs = both
+    read, matcher = [], ours.matcher
+
+    class Counted:
+        def iter_long(self, text, start=0):
+            for found in matcher.iter_long(text, start):
+                read.append(found)
+                yield found
+
+    ours.matcher = Counted()
+    try:
+        rng = random.Random(8)
+        words = ["".join(rng.choices(["th", "on", "ing", "er", "ti", "ea", "an", "ou"], k=5)).encode() for _ in range(2000)]
+        coded = [ours.encode(w) for w in words]
+    finally:
+        ours.matcher = matcher
+    assert coded == [theirs._encode_single_piece(w) for w in words]
+    assert len(read) < 4 * sum(map(len, coded))
