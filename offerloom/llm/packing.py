@@ -21,7 +21,6 @@ import re
 import string
 import zlib
 from array import array
-from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -30,29 +29,44 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from offerloom.llm.shared import stash, tidy
+from offerloom.llm.words import word_hashes
 
-CACHE_WORDS = 400_000  # words met lately that a worker keeps the ids of; it keeps as many from before
+CACHE_WORDS = 500_000  # words that a worker keeps the ids of; the half not met for longest goes when there are more
 GROUP_BYTES = 2_000_000  # text tokenized at once; a longer text is a group of its own
 RANKED = 50_000  # about as many pieces of one length are ranked in one group
 
 
+_LETTERS = [c for c in map(chr, range(0x80, 0x250)) if c.isalpha() and c.lower().isalpha()]  # Latin ones that stay letters (a mark would go with the punctuation)
+
+
 def _latin() -> re.Pattern[bytes]:
-    """A word of Latin letters that stay letters (a mark would go with the punctuation), and punctuation after them."""
-    letters = [c.encode() for c in map(chr, range(0x80, 0x250)) if c.isalpha() and c.lower().isalpha()]
+    """A word of Latin letters, and punctuation after them."""
+    letters = [c.encode() for c in _LETTERS]
     wide = [re.escape(lead) + b"[%s]" % b"".join(re.escape(x[1:]) for x in letters if x[:1] == lead) for lead in sorted({x[:1] for x in letters})]
     return re.compile(b"((?:[A-Za-z]++|%s)++)([%s]*)" % (b"|".join(wide), re.escape(string.punctuation.encode())))
 
 
 LATIN = _latin()
+_CLASS = f"[A-Za-z{''.join(_LETTERS)}]+"
+PARTS = f"^(?P<core>{_CLASS})(?P<rest>[{re.escape(string.punctuation)}]*)$"  # LATIN for Arrow
 _coders: dict[str, Coder] = {}  # a worker keeps them, with the words it has met, for all its tasks
 
 
+def _latin_parts(words: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Letters of Latin words and the punctuation after them; other words stay whole."""
+    found = pc.extract_regex(words, PARTS)
+    return pc.coalesce(pc.struct_field(found, "core"), words), pc.fill_null(pc.struct_field(found, "rest"), "")
+
+
 class Coder:
     """Ids of words, little-endian 32 bits each, remembered.
 
     For a tokenizer that has small letters only, parts letters from punctuation and marks the last
     token of a word: A-Z are lowered beforehand, punctuation after letters is coded apart, and words
     of letters are coded many in a row, each up to a token that ends a word.
+
+    The words met are Arrow arrays, found by a hash and then compared, so that a word costs some fifty
+    bytes and no Python object.
     """
 
     def __init__(self, path: str):
@@ -60,60 +74,95 @@ class Coder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
         normal, parted, mark = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer, getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.lowers = normal is not None and normal.normalize_str(string.ascii_uppercase) == string.ascii_lowercase
         self.parts = bool(self.lowers and mark and parted is not None and [p for p, _ in parted.pre_tokenize_str("ab" + string.punctuation)] == ["ab", string.punctuation])
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if mark and token.endswith(mark)]] = True
+        self.words, self.known = pa.array([], pa.string()), pa.array([], pa.large_binary())
+        self.met, self.turn = np.zeros(0, np.int64), 0  # the turn in which each word was met last
+        self.hashes, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # ascending hashes, and whose they are
 
-    def coded(self, words: list[bytes]) -> list[bytes]:
-        texts = [w.decode("utf-8", "replace") for w in words]
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def coded(self, words: pa.Array) -> pa.Array:
+        texts = [w.decode("utf-8", "replace") for w in words.cast(pa.binary()).to_pylist()]
+        return pa.array([array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)], pa.large_binary())
 
-    def in_a_row(self, words: list[bytes]) -> list[bytes]:
+    def in_a_row(self, words: pa.Array) -> pa.Array:
         """Ids of words of letters."""
         coded = self.tokenizer.encode_fast if hasattr(self.tokenizer, "encode_fast") else self.tokenizer.encode
-        ids = np.array(coded(b" ".join(words).decode(), add_special_tokens=False).ids, "<u4")
+        ids = np.array(coded(" ".join(words.to_pylist()), add_special_tokens=False).ids, "<u4")
         stops = 4 * (np.flatnonzero(self.ends[ids]) + 1)
         if len(stops) != len(words):  # a letter that becomes more than a letter
             return self.coded(words)
-        data = ids.tobytes()
-        return [data[a:b] for a, b in zip([0, *stops.tolist()], stops.tolist())]
-
-    def unknown(self, words: Iterable[bytes]) -> list[bytes]:
-        """Those of distinct words that have no ids yet."""
-        known, older = self.known, self.older
-        new = []
-        for word in words:
-            if word not in known:
-                if word in older:
-                    known[word] = older[word]
-                else:
-                    new.append(word)
-        return new
-
-    def learn(self, words: Iterable[bytes], code, at_once: int) -> None:
-        new = self.unknown(words)
-        for i in range(0, len(new), at_once):
-            self.known.update(zip(new[i : i + at_once], code(new[i : i + at_once]), strict=True))
-
-    def ids(self, words: list[bytes]) -> list[bytes]:
-        """Of distinct words."""
-        if len(self.known) > CACHE_WORDS:
-            self.known, self.older = {}, self.known
-        new = self.unknown(words)
-        if self.parts:
-            found = [(word, *match.groups()) for word, match in zip(new, map(LATIN.fullmatch, new)) if match]
-            self.learn({core for _, core, _ in found}, self.in_a_row, 2_000)
-            self.learn({rest for _, _, rest in found if rest}, self.coded, 20_000)
-            self.known.update([(word, self.known[core] + self.known[rest]) for word, core, rest in found if rest])
-        self.learn(new, self.coded, 20_000)
-        return list(map(self.known.__getitem__, words))
-
-    def texts(self, texts: pa.Array, end_id: int) -> tuple[bytes, np.ndarray]:
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(np.concatenate(([0], stops))), pa.py_buffer(ids)])
+
+    def find(self, words: pa.Array, hashes: np.ndarray) -> np.ndarray:
+        """Places of words among those met, -1 for others."""
+        if not len(self.hashes):
+            return np.full(len(words), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        place = np.where(self.hashes[at] == hashes, self.places[at], -1)
+        hit = np.flatnonzero(place >= 0)
+        same = pc.equal(self.words.take(pa.array(place[hit])), words.take(pa.array(hit))).to_numpy(zero_copy_only=False)
+        place[hit[~same.astype(bool)]] = -1
+        self.met[place[hit[same.astype(bool)]]] = self.turn
+        return place
+
+    def learn(self, words: pa.Array, ids: pa.Array, hashes: np.ndarray) -> None:
+        """Remembers distinct new words; of words with the same hash, the first."""
+        hashes, first = np.unique(hashes, return_index=True)
+        at = np.searchsorted(self.hashes, hashes)
+        if len(self.hashes):
+            other = self.hashes[np.minimum(at, len(self.hashes) - 1)] != hashes
+            hashes, first, at = hashes[other], first[other], at[other]
+        self.places = np.insert(self.places, at, len(self.words) + np.arange(len(first)))
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.words = pa.concat_arrays([self.words, words.take(pa.array(first))])
+        self.known = pa.concat_arrays([self.known, ids.take(pa.array(first))])
+        self.met = np.append(self.met, np.full(len(first), self.turn))
+        if len(self.words) > CACHE_WORDS:
+            kept = np.sort(np.argsort(-self.met, kind="stable")[: CACHE_WORDS // 2])
+            moved = np.full(len(self.words), -1)
+            moved[kept] = np.arange(len(kept))
+            self.words, self.known, self.met = self.words.take(pa.array(kept)), self.known.take(pa.array(kept)), self.met[kept]
+            places = moved[self.places]
+            self.hashes, self.places = self.hashes[places >= 0], places[places >= 0]
+
+    def pieces(self, words: pa.Array) -> pa.Array:
+        """Ids of distinct words of letters alone, of punctuation, or of any kind."""
+        place = np.arange(len(words))
+        latin = pc.match_substring_regex(words, f"^{_CLASS}$").to_numpy(zero_copy_only=False).astype(bool) if self.parts else np.zeros(len(words), bool)
+        found = []
+        for code, which, at_once in ((self.in_a_row, place[latin], 2_000), (self.coded, place[~latin], 20_000)):
+            some = words.take(pa.array(which))
+            found += [code(some.slice(i, at_once)) for i in range(0, len(some), at_once)]
+        back = np.argsort(np.concatenate((place[latin], place[~latin])), kind="stable")
+        return pa.concat_arrays(found).take(pa.array(back)) if found else pa.array([], pa.large_binary())
+
+    def new(self, words: pa.Array, hashes: np.ndarray) -> pa.Array:
+        """Ids of distinct words that were not met, which are remembered."""
+        if not self.parts:
+            ids = self.pieces(words)
+            self.learn(words, ids, hashes)
+            return ids
+        core, rest = _latin_parts(words)
+        parts = pa.concat_arrays([core, rest]).dictionary_encode()
+        index, parts = parts.indices.to_numpy(), parts.dictionary
+        own = word_hashes(parts)
+        place = self.find(parts, own)
+        unmet = np.flatnonzero(place < 0)
+        coded = self.pieces(parts.take(pa.array(unmet)))
+        place[unmet] = len(self.known) + np.arange(len(unmet))
+        whole = pa.concat_arrays([self.known, coded])
+        ids = pc.binary_join_element_wise(*(whole.take(pa.array(place[half])) for half in np.split(index, 2)), pa.scalar(b"", pa.large_binary()))
+        joined = np.flatnonzero(pc.binary_length(rest).to_numpy())  # the others are parts themselves
+        self.learn(
+            pa.concat_arrays([parts.take(pa.array(unmet)), words.take(pa.array(joined))]),
+            pa.concat_arrays([coded, ids.take(pa.array(joined))]), np.concatenate((own[unmet], hashes[joined])))
+        return ids
+
+    def texts(self, texts: pa.Array, end_id: int) -> tuple[memoryview, np.ndarray]:
         """Ids of texts (binary, no nulls) with an end id after each, and the byte after each.
 
         The tokenizer never joins what white space parts, so ids of a text are those of its words in a row.
@@ -122,13 +171,23 @@ class Coder:
         split = pc.ascii_split_whitespace(pc.ascii_lower(texts) if self.lowers else texts)
         counts = pc.list_value_length(split).to_numpy()
         words = split.flatten().dictionary_encode()
-        ids = [*self.ids(words.dictionary.cast(pa.binary()).to_pylist()), array("I", [end_id]).tobytes()]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        index, words = words.indices.to_numpy(), words.dictionary
+        self.turn += 1
+        hashes = word_hashes(words)
+        slot = self.find(words, hashes)
+        unmet = np.flatnonzero(slot < 0)
+        known = self.known  # before more words are met
+        slot[unmet] = len(known) + np.arange(len(unmet))
+        new = self.new(words.take(pa.array(unmet)), hashes[unmet])
+        ids = pa.concat_arrays([known, new, pa.array([array("I", [end_id]).tobytes()], pa.large_binary())])
         row = np.arange(len(counts))
         last = np.cumsum(counts) + row  # place of each text's end among words and ends
-        place = np.full(len(words) + len(counts), len(ids) - 1)
-        place[np.arange(len(words)) + np.repeat(row, counts)] = words.indices.to_numpy()
-        return b"".join(map(ids.__getitem__, place.tolist())), np.cumsum(size[place])[last]
+        place = np.full(len(index) + len(counts), len(ids) - 1)
+        place[np.arange(len(index)) + np.repeat(row, counts)] = slot[index]
+        out = ids.take(pa.array(place))
+        _, offsets, data = out.buffers()
+        ends = np.frombuffer(offsets, np.int64)[out.offset : out.offset + len(out) + 1]
+        return memoryview(data)[int(ends[0]) : int(ends[-1])], ends[1:][last] - ends[0]
 
 
 def _tokenized(path: str, capacity: int, end_id: int):

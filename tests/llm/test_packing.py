@@ -129,3 +129,25 @@ def test_latin_words_and_punctuation_after_them():
         match = packing.LATIN.fullmatch(word)
         assert (match.groups() if match else None) == ((core, word[len(core) :]) if latin else None)
     assert packing.LATIN.fullmatch("aé".encode() * 200_000 + b"1") is None
+
+
+def test_words_met_are_kept_in_bounds_without_python_objects(monkeypatch):
+    """Words that went, or share a hash, are coded again; what is kept costs tens of bytes a word."""
+    rng, coder = random.Random(9), Tokenizer.from_file(PATH)
+    texts = [" ".join("".join(rng.choices("abcdeé", k=rng.randint(1, 4))) + rng.choice(["", ",", "日"]) for _ in range(300)) for _ in range(12)]
+    monkeypatch.setattr(packing, "CACHE_WORDS", 200)
+    plain = packing.word_hashes
+    for hashes in (plain, lambda words: plain(words) % np.uint64(50)):
+        monkeypatch.setattr(packing, "word_hashes", hashes)
+        ours = packing.Coder(PATH)
+        for text in texts + texts:
+            data, ends = ours.texts(pa.array([b"", text.encode()], pa.binary()), 1)
+            assert np.frombuffer(data, "<u4").tolist() == [1, *coder.encode(text, add_special_tokens=False).ids, 1]
+            assert ends.tolist() == [4, len(data)]
+            assert len(ours.words) == len(ours.known) == len(ours.met) == len(ours.hashes) == len(ours.places) <= 200
+            assert (np.diff(ours.hashes.astype(object)) > 0).all()
+    monkeypatch.undo()
+    ours = packing.Coder(PATH)
+    ours.texts(pa.array([" ".join(f"{a}{b}{c}" for a in "abcdefghij" for b in string.ascii_lowercase for c in string.ascii_lowercase).encode()], pa.binary()), 1)
+    held = sum(x.nbytes for x in (ours.words, ours.known, ours.met, ours.hashes, ours.places))
+    assert 6760 <= len(ours.words) <= 6761 and held < 64 * 6760  # nothing is a word too
