@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from offerloom.llm.shared import tidy
+
 SAMPLED = 2000  # labelled texts of each label at most
 COPY = 0.7  # of the words of two texts in common: one is a near copy
 LANDMARKS = 96
@@ -38,6 +40,8 @@ SPAN = 7  # letters that a triple may reach over
 DECAY = 0.7
 LONGEST = 24  # letters; longer words are read in halfway overlapping windows
 CACHE = 150_000  # distinct words a worker keeps the scores of
+TEXT_CHARS = 1_000_000  # text scored at once; a longer text is scored alone
+AT_ONCE = 20_000  # words
 
 _PAIRS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 
@@ -154,10 +158,12 @@ class Model:
         self.slope, self.offset = 1.0, 0.0
 
     def coded(self, words: list[bytes]) -> np.ndarray:
-        """floor + the normalised triples times their weights, at least floor."""
+        """floor + the normalised triples times their weights, at least floor; some words at once."""
+        parts = [self._coded(words[lo : lo + AT_ONCE]) for lo in range(0, len(words), AT_ONCE)]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
+    def _coded(self, words: list[bytes]) -> np.ndarray:
         out = np.full(len(words), self.floor)
-        if not words:
-            return out
         flat = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
         size = np.array([len(w) for w in words], np.int64)
         left = np.repeat(np.cumsum(size), size) - np.arange(len(flat))
@@ -168,10 +174,9 @@ class Model:
             value = self.weights[(flat[at] << 10) | (flat[at + a] << 5) | flat[at + b]]
             total += np.bincount(owner[at], value * DECAY ** (b - 2), len(words))
         above = np.flatnonzero(total > 0)  # the rest cannot come above floor
-        for lo in range(0, len(above), 20_000):
-            some = above[lo : lo + 20_000]
-            owned, _, weight = triples([words[i] for i in some.tolist()])
-            out[some] += total[some] / np.sqrt(np.bincount(owned, weight**2, len(some)))
+        if len(above):
+            owned, _, weight = triples([words[i] for i in above.tolist()])
+            out[above] += total[above] / np.sqrt(np.bincount(owned, weight**2, len(above)))
         return out
 
     def words(self, words: list[str]) -> np.ndarray:
@@ -184,8 +189,7 @@ class Model:
                 pieces.append(coded[at : at + LONGEST])
                 owner.append(i)
         out = np.full(len(words), self.floor)
-        for lo in range(0, len(pieces), 50_000):
-            np.maximum.at(out, np.array(owner[lo : lo + 50_000]), self.coded(pieces[lo : lo + 50_000]))
+        np.maximum.at(out, np.array(owner, np.int64), self.coded(pieces))
         return out
 
     def probability(self, f):
@@ -249,6 +253,7 @@ def train(texts: list[str], toxic: list[int]) -> Model:
         words = instances(text)
         coded_words.update((w, letters(w)[:LONGEST]) for w in words.difference(coded_words))
         bags.append({coded_words[w] for w in words})
+    del coded_words
     kept = without_copies(bags, toxic)
     bags, y = [bags[i] for i in kept], y[kept]
     toxic = y.tolist()
@@ -323,7 +328,7 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model:
         values = [model.weights.tobytes(), model.floor, model.slope, model.offset]
         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, schema.types, strict=True)], schema=schema)
 
-    rows = sample(docs, labels).coalesce(1).mapInArrow(run, "weights binary, floor double, slope double, offset double").collect()
+    rows = sample(docs, labels).coalesce(1).mapInArrow(tidy(run), "weights binary, floor double, slope double, offset double").collect()
     if not rows:
         return train([], [])
     model = Model(np.frombuffer(bytes(rows[0]["weights"])), rows[0]["floor"])
@@ -349,7 +354,7 @@ def _texts_scored(model: Model, cache: dict[str, float], column: pa.Array) -> np
         value = text.as_py()
         bags.append(instances(value))
         size += len(value or "")
-        if size > 4_000_000:
+        if size > TEXT_CHARS:
             settle()
             size = 0
     settle()
@@ -365,7 +370,7 @@ def _scored(shared):
             score = _texts_scored(shared.value, cache, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], schema=schema)
 
-    return run, "doc_id long, score double, predicted int"
+    return tidy(run), "doc_id long, score double, predicted int"
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -389,4 +394,4 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(_texts_scored(shared.value, cache, batch.column(place)) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
