@@ -118,3 +118,17 @@ def test_repeated_labels_do_not_fill_the_sample(spark):
     labels = spark.createDataFrame(rows + [(key, 0)] * 9000, "doc_id long, toxic int")
     got = toxicity.sample(docs, labels).collect()
     assert sorted((r.doc_id, r.toxic) for r in got) == sorted(rows)
+
+
+def test_text_is_scored_one_megabyte_at_once(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from offerloom.llm import toxicity
+
+    met = []
+    model = toxicity.Model(np.zeros(1 << 15), -1.0)
+    monkeypatch.setattr(model, "words", lambda words: met.append(len(words)) or np.zeros(len(words)))
+    texts = [" ".join(f"{i}x{k}" for k in range(10_000)) for i in range(40)]
+    assert len(toxicity._texts_scored(model, {}, pa.array(texts))) == 40
+    assert sum(met) == 400_000 and max(met) <= 200_000
