@@ -32,7 +32,8 @@ from offerloom.llm.shared import stash, tidy
 from offerloom.llm.words import word_hashes
 
 CACHE_WORDS = 500_000  # words that a worker keeps the ids of; the half not met for longest goes when there are more
-GROUP_BYTES = 2_000_000  # text tokenized at once; a longer text is a group of its own
+GROUP_BYTES = 1_000_000  # text tokenized at once; a longer text is a group of its own
+CODED = 4_000  # words coded at once; the tokenizer makes about a kilobyte of each
 RANKED = 50_000  # about as many pieces of one length are ranked in one group
 
 
@@ -116,6 +117,8 @@ class Coder:
         if len(self.hashes):
             other = self.hashes[np.minimum(at, len(self.hashes) - 1)] != hashes
             hashes, first, at = hashes[other], first[other], at[other]
+        if not len(first):
+            return
         self.places = np.insert(self.places, at, len(self.words) + np.arange(len(first)))
         self.hashes = np.insert(self.hashes, at, hashes)
         self.words = pa.concat_arrays([self.words, words.take(pa.array(first))])
@@ -134,7 +137,7 @@ class Coder:
         place = np.arange(len(words))
         latin = pc.match_substring_regex(words, f"^{_CLASS}$").to_numpy(zero_copy_only=False).astype(bool) if self.parts else np.zeros(len(words), bool)
         found = []
-        for code, which, at_once in ((self.in_a_row, place[latin], 2_000), (self.coded, place[~latin], 20_000)):
+        for code, which, at_once in ((self.in_a_row, place[latin], 2_000), (self.coded, place[~latin], CODED)):
             some = words.take(pa.array(which))
             found += [code(some.slice(i, at_once)) for i in range(0, len(some), at_once)]
         back = np.argsort(np.concatenate((place[latin], place[~latin])), kind="stable")
@@ -151,10 +154,10 @@ class Coder:
         index, parts = parts.indices.to_numpy(), parts.dictionary
         own = word_hashes(parts)
         place = self.find(parts, own)
-        unmet = np.flatnonzero(place < 0)
+        met, unmet = np.flatnonzero(place >= 0), np.flatnonzero(place < 0)
         coded = self.pieces(parts.take(pa.array(unmet)))
-        place[unmet] = len(self.known) + np.arange(len(unmet))
-        whole = pa.concat_arrays([self.known, coded])
+        whole = pa.concat_arrays([self.known.take(pa.array(place[met])), coded])  # of these parts alone: what is known is large
+        place[np.concatenate((met, unmet))] = np.arange(len(place))
         ids = pc.binary_join_element_wise(*(whole.take(pa.array(place[half])) for half in np.split(index, 2)), pa.scalar(b"", pa.large_binary()))
         joined = np.flatnonzero(pc.binary_length(rest).to_numpy())  # the others are parts themselves
         self.learn(
@@ -175,10 +178,10 @@ class Coder:
         self.turn += 1
         hashes = word_hashes(words)
         slot = self.find(words, hashes)
-        unmet = np.flatnonzero(slot < 0)
-        known = self.known  # before more words are met
-        slot[unmet] = len(known) + np.arange(len(unmet))
+        met, unmet = np.flatnonzero(slot >= 0), np.flatnonzero(slot < 0)
+        known = self.known.take(pa.array(slot[met]))  # before more words are met
         new = self.new(words.take(pa.array(unmet)), hashes[unmet])
+        slot[np.concatenate((met, unmet))] = np.arange(len(slot))
         ids = pa.concat_arrays([known, new, pa.array([array("I", [end_id]).tobytes()], pa.large_binary())])
         row = np.arange(len(counts))
         last = np.cumsum(counts) + row  # place of each text's end among words and ends

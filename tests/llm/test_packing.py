@@ -11,6 +11,7 @@ from tokenizers import Tokenizer
 from offerloom.llm import packing
 from offerloom.llm.packing import pack, plan
 from offerloom.llm.queries import tokenizer_file
+from offerloom.llm.words import word_hashes
 
 PATH = tokenizer_file("word_bpe_49k.json")
 
@@ -151,3 +152,21 @@ def test_words_met_are_kept_in_bounds_without_python_objects(monkeypatch):
     ours.texts(pa.array([" ".join(f"{a}{b}{c}" for a in "abcdefghij" for b in string.ascii_lowercase for c in string.ascii_lowercase).encode()], pa.binary()), 1)
     held = sum(x.nbytes for x in (ours.words, ours.known, ours.met, ours.hashes, ours.places))
     assert 6760 <= len(ours.words) <= 6761 and held < 64 * 6760  # nothing is a word too
+
+
+def test_words_met_are_not_copied_for_each_group_of_texts(monkeypatch):
+    coder = packing.Coder(PATH)
+    met = pa.array([f"{i}x{i}" for i in range(50_000)])
+    coder.learn(met, pa.array([b"\1\0\0\0" * 50] * len(met), pa.large_binary()), word_hashes(met))
+    texts = pa.array([b"7x7 8x8, 9x9 some words", b"", b"7x7"])
+    coder.texts(texts, 1)  # from here on all words are met
+    joined, join = [], pa.concat_arrays
+
+    def recorded(arrays):
+        joined.append(join(arrays))
+        return joined[-1]
+
+    monkeypatch.setattr(pa, "concat_arrays", recorded)
+    data, ends = coder.texts(texts, 1)
+    assert sum(len(x) for x in joined) < 100
+    assert bytes(data[ends[1] :]) == b"\1\0\0\0" * 51 and ends[1] - ends[0] == 4
