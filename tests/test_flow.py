@@ -354,6 +354,26 @@ def test_streamed_chain_repeats_and_merges(spark, inputs, tmp_path, monkeypatch)
     assert len(chain.open.folders()) <= 2
 
 
+def test_streamed_chain_plans_the_stages_once_and_parses_only_pages(spark, inputs, tmp_path, monkeypatch):
+    from offerloom.streaming.batches import Batches
+
+    plans, write = [], Batches.write
+
+    def recorded(self, rows, number):
+        if self.path.endswith("/offers"):
+            plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return write(self, rows, number)
+
+    monkeypatch.setattr(Batches, "write", recorded)
+    offers, pages, responses = inputs
+    chain = Chain(spark, str(tmp_path))
+    for number, some in enumerate([[offers, pages.limit(0), responses], [offers.limit(0), pages, responses.limit(0)]]):
+        chain.advance(chain_events(*some), number, PROFILE, F.lit(NOW))
+    assert not any("Exchange" in plan for plan in plans)
+    assert ["ArrowEvalPython" in plan for plan in plans] == [False, True]
+    assert rows_of(chain.current()) == rows_of(run_stages(*inputs, PROFILE, F.lit(NOW)).drop("topcard_text"))
+
+
 def test_streamed_throttle_equals_batch(spark, tmp_path):
     base = dt.datetime(2026, 1, 1)
     rows = [("k", base + dt.timedelta(milliseconds=370 * i)) for i in range(50)]
