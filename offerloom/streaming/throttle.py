@@ -32,21 +32,26 @@ def notices(times: Sequence[int], free_from: int, gap: int = STATUS_THROTTLE_MS)
     return out
 
 
-def hand_over(times: list[int], start: int, gap: int = STATUS_THROTTLE_MS) -> tuple[list[int], list[int]]:
+def hand_over(times: Sequence[int], start: int, gap: int = STATUS_THROTTLE_MS) -> tuple[list[int], list[int]]:
     """What a chunk does to the time from which its key is free, as steps.
 
     Free from ``starts[i]``, or later but before ``starts[i + 1]``, the chunk leaves the key free from
     ``ends[i]``. Only when the key becomes free within the chunk's first second makes a difference.
+    All starts go through the chunk together; those that meet at a notice go on as one.
     """
-    early = times[: bisect_left(times, start + gap)]
-    starts, ends = [], []
-    for free_from in [start] + [t + 1 for t in early]:
-        sent = notices(times, free_from, gap)
-        end = sent[-1] + gap if sent else free_from
-        if not ends or end != ends[-1]:
-            starts.append(free_from)
-            ends.append(end)
-    return starts, ends
+    times = np.asarray(times, "int64")
+    free = np.concatenate(([start], times[: np.searchsorted(times, start + gap)] + 1))
+    starts, one = free, np.arange(len(free))  # the place in `free` that each start has come to
+    at = np.searchsorted(times, free)
+    while len(times) and at[0] < len(times):  # an earlier start is never behind a later one
+        live = at < len(times)
+        free = np.where(live, times[np.minimum(at, len(times) - 1)] + gap, free)
+        at = np.searchsorted(times, free)
+        new = np.concatenate(([True], free[1:] != free[:-1]))
+        free, at, one = free[new], at[new], (np.cumsum(new) - 1)[one]
+    ends = free[one]
+    kept = np.concatenate(([True], ends[1:] != ends[:-1]))
+    return starts[kept].tolist(), ends[kept].tolist()
 
 
 def step(starts, ends, free_from: int) -> int:
@@ -87,7 +92,7 @@ def throttled(events: DataFrame, key: str = "key", ts: str = "ts") -> DataFrame:
     with its true starting point.
     """
     ms = F.unix_millis(F.col(ts).cast("timestamp"))
-    chunks = (
+    chunks = stash(  # read on the way up and for the replay
         events.select(F.col(key).alias("key"), ms.alias("ms"))
         .withColumn("chunk", F.floor(F.col("ms") / CHUNK_MS))
         .groupBy("key", "chunk")
@@ -98,7 +103,7 @@ def throttled(events: DataFrame, key: str = "key", ts: str = "ts") -> DataFrame:
 
     def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            steps = [hand_over(list(t), c * CHUNK_MS) for c, t in zip(batch["chunk"], batch["times"])]
+            steps = [hand_over(t, c * CHUNK_MS) for c, t in zip(batch["chunk"], batch["times"])]
             yield pd.DataFrame({
                 "key": batch["key"], "node": batch["chunk"],
                 "starts": [s for s, _ in steps], "ends": [e for _, e in steps]})
@@ -137,8 +142,7 @@ def throttled(events: DataFrame, key: str = "key", ts: str = "ts") -> DataFrame:
 
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sent = [
-                notices(list(times), free) for times, free in zip(batch["times"], batch["free"])]
+            sent = [notices(times, free) for times, free in zip(batch["times"], batch["free"])]
             yield pd.DataFrame({"key": batch["key"], "sent": sent})
 
     return (

@@ -106,3 +106,30 @@ def test_times_of_a_key_are_eight_bytes_each():
 def test_events_are_spread_before_they_multiply(spark, small_tables):
     plan = hourly_notices(table(spark, small_tables, "events"))._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Generate") < plan.index("hashpartitioning(event_id")
+
+
+def test_events_are_read_once(spark):
+    """The replay takes the chunks that the way up has read."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    rows = spark.range(500).select(F.lit("k").alias("key"), F.timestamp_millis(F.col("id") * 700).alias("ts"))
+    events = rows.mapInPandas(counted, "key string, ts timestamp")
+    assert throttled(events).count() == 250
+    assert read.value == 500
+
+
+def test_starts_that_meet_go_on_as_one():
+    """A chunk as the tasks get it, a numpy array, against one replay a start."""
+    rng = np.random.default_rng(3)
+    for size, span in ((0, 10), (1, 10), (300, 400), (400, 5000), (60, 40000), (3000, 3000)):
+        times = np.unique(rng.integers(7000, 7000 + span, size))
+        starts, ends = hand_over(times, 7000)
+        for free in (7000, 7001, 7200, 7500, 7999):
+            sent = notices(times.tolist(), free)
+            if sent:
+                assert ends[max(i for i, s in enumerate(starts) if s <= free)] == sent[-1] + 1000
